@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import canonical, tokens
+from stowage.llm import canonical, sentences, tokens
 from stowage.session import table
 
 
@@ -36,7 +36,17 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").alias("n"), tokens.decoded(ids, F.col("ids")).alias("text")).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p6_round_trip)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents").select("doc_id", "text", "kind"))
+
+
+def p8_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Number and greatest length of the units of each document that has any."""
+    length = F.col("end_at") - F.col("start_at")
+    return p8_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max(length).alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p6_round_trip, p8_found, p8_by_document)}
 
 _PATH = r"""array_to_string(list_filter(list_transform(string_split_regex({0}, '[/\\]'),
         lambda c: regexp_replace(lower(c), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda c: c <> ''), '/')"""
