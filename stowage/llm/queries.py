@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import canonical, sentences, tokens
+from stowage.llm import canonical, leaks, sentences, tokens
 from stowage.session import table
 
 
@@ -36,6 +36,15 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").alias("n"), tokens.decoded(ids, F.col("ids")).alias("text")).select("doc_id", "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+def p7_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents each leaked item occurs."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents").select("doc_id", "text", "kind"))
 
@@ -46,7 +55,7 @@ def p8_by_document(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max(length).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p6_round_trip, p8_found, p8_by_document)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p6_round_trip, p7_found, p7_by_item, p8_found, p8_by_document)}
 
 _PATH = r"""array_to_string(list_filter(list_transform(string_split_regex({0}, '[/\\]'),
         lambda c: regexp_replace(lower(c), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda c: c <> ''), '/')"""
