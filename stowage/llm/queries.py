@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import canonical, leaks, sentences, tokens
+from stowage.llm import canonical, leaks, linkage, sentences, tokens
 from stowage.session import table
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Records of the same game with the confidence of each link."""
+    games = table(spark, d, "games").select("id", "title", "path")
+    entries = table(spark, d, "lutris_games").select("id", "name", "directory")
+    links = linkage.link_records(games, entries)
+    return links.select(F.col("left_id").alias("game_id"), F.col("right_id").alias("lutris_id"), "confidence")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_links(spark, d).select("game_id", "lutris_id")
+
+
 def _forms(spark: SparkSession, d: str):
     yield "games", table(spark, d, "games").select("rec_no", "path"), "rec_no", canonical.canonical_path(F.col("path"))
     yield "lutris_games", table(spark, d, "lutris_games").select("id", "directory"), "id", canonical.canonical_path(F.col("directory"))
@@ -55,7 +67,7 @@ def p8_by_document(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.max(length).alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p6_ids, p6_round_trip, p7_found, p7_by_item, p8_found, p8_by_document)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p3_found, p3_groups, p6_ids, p6_round_trip, p7_found, p7_by_item, p8_found, p8_by_document)}
 
 _PATH = r"""array_to_string(list_filter(list_transform(string_split_regex({0}, '[/\\]'),
         lambda c: regexp_replace(lower(c), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda c: c <> ''), '/')"""
