@@ -13,6 +13,7 @@ from stowage.operators import paths as P
 from stowage.operators import state as S
 from stowage.session import table
 from stowage.sources import text as X
+from stowage.streaming import observer
 
 KEYS = ["game_id", "relpath"]
 VALUES = ["loaded_at", "size", "ino", "mtime_ns", "ctime_ns", "level_applied"]
@@ -62,7 +63,7 @@ def receipt_skip(spark, d):
 
 def outcome_merge(spark, d):
     now = _held(spark, d, NOW)
-    confirmed = now.where(F.col("ino") % 3 == 0)
+    confirmed = now.where("level_applied > 0")
     return I.merged_outcome(now, _held(spark, d, BEFORE), confirmed, KEYS).groupBy("game_id", "level").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -87,8 +88,9 @@ def tree_diff(spark, d):
 
 
 def hard_links(spark, d):
-    rows = table(spark, d, "files").where(F.col("snap_no") == NOW).select("game_id", "ino", F.hex("relpath").alias("path_hex")).distinct()
-    return I.hard_links(rows.withColumn("ino", F.col("ino") % 1000), ["game_id", "ino"], "path_hex")
+    """Files of one length in a game, which stand for names of one inode; the first in path order is their target."""
+    rows = _held(spark, d, NOW).where("size is not null").select("game_id", "size", F.hex("relpath").alias("path_hex"))
+    return I.hard_links(rows, ["game_id", "size"], "path_hex")
 
 
 # costs
@@ -144,9 +146,9 @@ def forget_games(spark, d):
 
 
 def replace_fingerprints(spark, d):
-    """The earlier snapshot with the files of all games of the later one replaced."""
+    """The earlier snapshot with the files of all games of one launcher replaced by the later one's."""
     columns = [*KEYS, "size", "level_applied"]
-    base = S.replace_groups(_held(spark, d, BEFORE).select(*columns), _held(spark, d, NOW).where(F.length("game_id") % 2 == 0).select(*columns), ["game_id"])
+    base = S.replace_groups(_held(spark, d, BEFORE).select(*columns), _held(spark, d, NOW).where("game_id like 'steam:%'").select(*columns), ["game_id"])
     return base.groupBy("game_id").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
 
 
@@ -294,21 +296,27 @@ def file_types(spark, d):
 
 
 def overlay_view(spark, d):
-    """The earlier snapshot under the later one's changed files, without whited-out folders."""
-    base = _held(spark, d, BEFORE).select(F.concat_ws("/", "game_id", F.decode("relpath", "ISO-8859-1")).alias("path"), "size")
-    upper = _held(spark, d, NOW).where(F.col("ino") % 5 == 0).select(F.concat_ws("/", "game_id", F.decode("relpath", "ISO-8859-1")).alias("path"), "size")
-    white = _held(spark, d, BEFORE).where(F.col("ino") % 97 == 0).select(F.concat_ws("/", "game_id", F.substring_index(F.decode("relpath", "ISO-8859-1"), "/", 1)).alias("path"))
-    seen = P.overlay(base, upper, white, "path", ["size"])
+    """The earlier snapshot under the later one's compressed files, without top folders that the later one has no more."""
+    path = F.concat_ws("/", "game_id", F.decode("relpath", "ISO-8859-1")).alias("path")
+    base = _held(spark, d, BEFORE).select(path, "size")
+    now = _held(spark, d, NOW).select(path, "size", "level_applied")
+    top = F.substring_index("path", "/", 2).alias("path")
+    white = base.select(top).distinct().join(now.select(top).distinct(), "path", "left_anti")
+    seen = P.overlay(base, now.where("level_applied > 0"), white, "path", ["size"])
     return seen.groupBy(F.substring_index("path", "/", 1).alias("game_id"), "layer").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
 
 
 # content
 
+MADE_HEADS = {"dds": "44445320", "pak": "504B0304", "wem": "52494646", "bk2": "424B3200", "bin": "1F8B0800", "dll": "4D5A9000", "so": "7F454C46", "json": "7B0A2020", "txt": "EFBBBF23", "png": "89504E470D0A1A0A"}
+
+
 def header_families(spark, d):
-    """Families and counters of files by their first bytes, which here are made from the inode and path."""
-    marks = ["44445320", "504B0304", "52494646", "1F8B", "4D5A", "89504E470D0A1A0A", "4F676753", "00000018667479706D703432"]
-    head = F.concat(F.unhex(F.element_at(F.array(*[F.lit(m) for m in marks]), (F.col("ino") % len(marks)).cast("int") + 1)), F.col("relpath"))
-    rows = _held(spark, d, NOW).withColumn("head", head).withColumn("family", headers.family(F.col("head")))
+    """Families and counters of files by their first bytes, which here are made up by ending."""
+    ending = P.extension(F.decode("relpath", "ISO-8859-1"))
+    made = F.create_map(*[F.lit(x) for pair in MADE_HEADS.items() for x in pair])
+    rows = _held(spark, d, NOW).withColumn("head", F.unhex(F.coalesce(F.try_element_at(made, ending), F.lit("00000018667479706D703432"))))
+    rows = rows.withColumn("family", headers.family(F.col("head")))
     return rows.groupBy("family").agg(F.count(F.lit(1)).alias("files"), F.count_if(headers.cheap(F.col("family"))).alias("cheap"), F.sum(headers.little(F.col("head"), 0, 4)).alias("marks"))
 
 
@@ -400,6 +408,15 @@ def preview_budget(spark, d):
 
 # totals
 
+def observe_stream(spark, d):
+    """The game records as a stream of reports: which installs are newly ready (the same rule as observe_changes)."""
+    observer.use_state_store(spark)
+    schema = table(spark, d, "games").schema
+    games = spark.readStream.schema(schema).parquet(f"{d}/games.parque[t]")  # a pattern, so that one file and a folder of files both do
+    reports = games.select(F.col("id").alias("key"), F.col("rec_no").alias("seq"), F.col("build_at_compress").alias("build"), F.col("forgotten_at").isNull().alias("settled"))
+    return observer.finished(observer.ready_installs(reports)).select("key", "seq", "build", "seen", "ready")
+
+
 def activity_totals(spark, d):
     rows = table(spark, d, "activity").distinct().withColumn("level", F.lower("level"))
     return rows.groupBy("level", "kind").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes_delta").alias("bytes"), F.max("ts").alias("latest"))
@@ -425,7 +442,7 @@ FUNCTIONS = [
     merge_sources, group_flags, selector_tiered, remembered_installs, volume_totals, observe_changes, id_parts, listed_installs, discovered_entries, app_manifests,
     prefix_location, longest_mount, swallowing_folders, file_types, overlay_view,
     header_families, dedupe_exact, single_documents, store_summary, chunk_offsets, range_reads, index_gaps, pool_prune, content_chunks, chunk_copies, encoded_documents, codec_benchmark, corpus_digest, small_file_frames, preview_budget,
-    activity_totals, job_progress, compressed_share,
+    observe_stream, activity_totals, job_progress, compressed_share,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -473,7 +490,7 @@ SQL = {
     "changed_since_floor": f"SELECT game_id, why, count(*) AS files, {_BIG.format('size')} AS bytes FROM {_changed(15, 65536)} WHERE why IS NOT NULL GROUP BY ALL",
     "recorded_levels": f"SELECT n.game_id, hex(n.relpath) AS path_hex, o.level_applied AS recorded_level FROM {_h(NOW)} n JOIN {_h(BEFORE)} o ON {_ON} AND {_SAME}",
     "receipt_skip": f"SELECT n.game_id, count(*) AS files FROM {_h(NOW)} n WHERE NOT EXISTS (SELECT 1 FROM {_h(BEFORE)} o WHERE {_ON} AND {_SAME} AND o.level_applied >= 9) GROUP BY 1",
-    "outcome_merge": f"""SELECT n.game_id, coalesce(CASE WHEN n.ino % 3 = 0 THEN n.level_applied END, o.level_applied, 0) AS level, count(*) AS files
+    "outcome_merge": f"""SELECT n.game_id, coalesce(CASE WHEN n.level_applied > 0 THEN n.level_applied END, o.level_applied, 0) AS level, count(*) AS files
         FROM {_h(NOW)} n LEFT JOIN {_h(BEFORE)} o ON {_ON} AND {_SAME} GROUP BY ALL""",
     "rejected_skip": f"""SELECT n.game_id, count(*) AS files FROM {_h(NOW)} n WHERE NOT EXISTS (SELECT 1 FROM {_h(BEFORE)} o
         WHERE {_ON} AND o.size = n.size AND o.mtime_ns = n.mtime_ns AND o.level_applied = 0) GROUP BY 1""",
@@ -483,8 +500,8 @@ SQL = {
     "tree_diff": f"""SELECT coalesce(o.game_id, n.game_id) AS game_id, hex(coalesce(o.relpath, n.relpath)) AS path_hex,
         CASE WHEN n.game_id IS NULL THEN 'missing' WHEN o.game_id IS NULL THEN 'extra' ELSE 'different' END AS what
         FROM {_h(BEFORE)} o FULL JOIN {_h(NOW)} n ON {_ON} WHERE n.game_id IS NULL OR o.game_id IS NULL OR o.size IS DISTINCT FROM n.size OR o.mtime_ns IS DISTINCT FROM n.mtime_ns""",
-    "hard_links": f"""SELECT * FROM (SELECT game_id, ino, path_hex, min(path_hex) OVER w AS target, count(*) OVER w AS links
-        FROM (SELECT DISTINCT game_id, ino % 1000 AS ino, hex(relpath) AS path_hex, ino AS own FROM files WHERE snap_no = {NOW}) WINDOW w AS (PARTITION BY game_id, ino)) WHERE links > 1 AND path_hex <> target""",
+    "hard_links": f"""SELECT * FROM (SELECT game_id, size, hex(relpath) AS path_hex, min(hex(relpath)) OVER w AS target, count(*) OVER w AS links
+        FROM {_h(NOW)} WHERE size IS NOT NULL WINDOW w AS (PARTITION BY game_id, size)) WHERE links > 1 AND path_hex <> target""",
     "disk_cost_models": f"""SELECT game_id, {_BIG.format(_COST)} AS native_bytes, {_BIG.format(_STORE_COST)} AS store_bytes, {_BIG.format(_SECTORS.format('size'))} AS raw_bytes
         FROM {_h(NOW)} WHERE size IS NOT NULL GROUP BY 1""",
     "sample_offsets": f"""SELECT game_id, path_hex, CAST(i AS BIGINT) AS i, CAST(CASE WHEN samples <= 1 THEN (blocks - 1) // 2 ELSE i * (blocks - 1) // greatest(samples - 1, 1) END AS BIGINT) AS block,
@@ -499,8 +516,8 @@ SQL = {
     "upsert_games": """SELECT id, rec_no, title, level FROM games QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at >= TIMESTAMP '2024-06-01' DESC, loaded_at DESC, rec_no DESC) = 1""",
     "forget_games": "SELECT rec_no, id FROM games WHERE id NOT IN (SELECT id FROM games WHERE forgotten_at IS NOT NULL)",
     "replace_fingerprints": f"""SELECT game_id, count(*) AS files, {_BIG.format('size')} AS bytes FROM (
-        SELECT game_id, size FROM {_h(NOW)} WHERE length(game_id) % 2 = 0
-        UNION ALL SELECT game_id, size FROM {_h(BEFORE)} WHERE game_id NOT IN (SELECT game_id FROM files WHERE snap_no = {NOW} AND length(game_id) % 2 = 0)) GROUP BY 1""",
+        SELECT game_id, size FROM {_h(NOW)} WHERE game_id LIKE 'steam:%'
+        UNION ALL SELECT game_id, size FROM {_h(BEFORE)} WHERE game_id NOT IN (SELECT game_id FROM files WHERE snap_no = {NOW} AND game_id LIKE 'steam:%')) GROUP BY 1""",
     "invalidate_by_path": """SELECT rec_no, CASE WHEN path LIKE '/mnt/%' THEN 0 ELSE level END AS level, CAST(CASE WHEN path LIKE '/mnt/%' THEN 0 ELSE est_saving END AS BIGINT) AS est_saving FROM games""",
     "exclude_games": f"SELECT folder, ids[1] AS id FROM {_MERGED} WHERE NOT list_has_any(ids, (SELECT list(DISTINCT id) FROM games WHERE forgotten_at IS NOT NULL))",
     "recent_activity": "SELECT ts, id, kind, bytes_delta FROM (SELECT DISTINCT * FROM activity) ORDER BY ts DESC, id DESC LIMIT 50",
@@ -545,8 +562,9 @@ SQL = {
     "swallowing_folders": """WITH s AS (SELECT DISTINCT '/' || source AS folder FROM documents), a AS (
         SELECT 'source:' || folder AS k, folder FROM s UNION SELECT 'top:/' || split_part(folder, '/', 2), '/' || split_part(folder, '/', 2) FROM s)
         SELECT o.k AS outer_key, i.k AS inner_key FROM a o JOIN a i ON starts_with(i.folder, o.folder || '/')""",
-    "overlay_view": f"""WITH b AS (SELECT game_id || '/' || {_LATIN} AS path, size, ino FROM {_h(BEFORE)}), u AS (SELECT game_id || '/' || {_LATIN} AS path, size FROM {_h(NOW)} WHERE ino % 5 = 0),
-        w AS (SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS white FROM b WHERE ino % 97 = 0),
+    "overlay_view": f"""WITH b AS (SELECT game_id || '/' || {_LATIN} AS path, size FROM {_h(BEFORE)}), n AS (SELECT game_id || '/' || {_LATIN} AS path, size, level_applied FROM {_h(NOW)}),
+        u AS (SELECT path, size FROM n WHERE level_applied > 0),
+        w AS (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS white FROM b EXCEPT SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM n),
         m AS (SELECT coalesce(u.path, b.path) AS path, CASE WHEN u.path IS NULL THEN b.size ELSE u.size END AS size, CASE WHEN u.path IS NULL THEN 'base' ELSE 'upper' END AS layer FROM b FULL JOIN u ON u.path = b.path)
         SELECT split_part(path, '/', 1) AS game_id, layer, count(*) AS files, {_BIG.format('size')} AS bytes FROM m
         WHERE NOT EXISTS (SELECT 1 FROM w WHERE m.path = white OR starts_with(m.path, white || '/')) GROUP BY ALL""",
@@ -565,9 +583,14 @@ SQL = {
     "file_types": f"""SELECT lower(regexp_extract(regexp_extract(path, '[^/]*$'), '[^.]\\.([^.]+)$', 1)) AS extension, len(list_filter(string_split(path, '/'), lambda c: c <> '')) AS depth,
         count(*) AS files, {_BIG.format('size')} AS bytes, count(CASE WHEN length(path) <= 4096 AND len(list_filter(string_split(path, '/'), lambda c: c IN ('', '.', '..'))) = 0 THEN 1 END) AS safe
         FROM (SELECT {_LATIN} AS path, size FROM {_h(NOW)}) GROUP BY ALL""",
-    "header_families": f"""SELECT family, count(*) AS files, count(CASE WHEN family IN ('encoded', 'texture', 'movie') THEN 1 END) AS cheap, CAST(sum(get_byte[4] * 16777216 + get_byte[3] * 65536 + get_byte[2] * 256 + get_byte[1]) AS BIGINT) AS marks
-        FROM (SELECT ['texture', 'archive', 'audio', 'mixed', 'program', 'encoded', 'encoded', 'movie'][ino % 8 + 1] AS family,
-        list_transform(range(0, 4), lambda i: CAST(('0x' || substr(['44445320', '504B0304', '52494646', '1F8B', '4D5A', '89504E470D0A1A0A', '4F676753', '00000018667479706D703432'][ino % 8 + 1] || hex(relpath), 2 * i + 1, 2)) AS BIGINT)) AS get_byte FROM {_h(NOW)}) GROUP BY 1""",
+    "header_families": f"""SELECT CASE WHEN e IN ('dds') THEN 'texture' WHEN e = 'pak' THEN 'archive' WHEN e = 'wem' THEN 'audio' WHEN e = 'bin' THEN 'mixed' WHEN e IN ('dll', 'so') THEN 'program'
+        WHEN e = 'png' THEN 'encoded' WHEN e IN ('bk2', 'json', 'txt') THEN 'unknown' ELSE 'movie' END AS family, count(*) AS files,
+        count(CASE WHEN e IN ('dds', 'png') OR e NOT IN ('dds', 'pak', 'wem', 'bk2', 'bin', 'dll', 'so', 'json', 'txt', 'png') THEN 1 END) AS cheap,
+        CAST(sum(CASE e {' '.join(f"WHEN '{k}' THEN {int.from_bytes(bytes.fromhex(v.ljust(8, '0'))[:4], 'little') if len(v) >= 8 else 'NULL'}" for k, v in MADE_HEADS.items())} ELSE 402653184 END) AS BIGINT) AS marks
+        FROM (SELECT lower(regexp_extract(regexp_extract({_LATIN}, '[^/]*$'), '[^.]\\.([^.]+)$', 1)) AS e FROM {_h(NOW)}) GROUP BY 1""",
+    "observe_stream": """SELECT key, seq, build, seen, settled AND (NOT seen OR NOT was_settled OR before IS DISTINCT FROM build) AS ready FROM (
+        SELECT id AS key, rec_no AS seq, build_at_compress AS build, forgotten_at IS NULL AS settled, lag(rec_no) OVER w IS NOT NULL AS seen, lag(build_at_compress) OVER w AS before,
+        lag(forgotten_at IS NULL) OVER w AS was_settled FROM games WINDOW w AS (PARTITION BY id ORDER BY rec_no))""",
     "activity_totals": """SELECT lower(level) AS level, kind, count(*) AS entries, CAST(sum(bytes_delta) AS BIGINT) AS bytes, max(ts) AS latest FROM (SELECT DISTINCT * FROM activity) GROUP BY 1, 2""",
     "job_progress": f"""SELECT id, count(*) OVER (PARTITION BY game_id ORDER BY finished, id) - 1 AS done FROM (SELECT id, game_id, max(finished) AS finished FROM {_JOBS} WHERE finished IS NOT NULL AND game_id IS NOT NULL GROUP BY ALL)""",
     "compressed_share": f"""SELECT launcher, count(*) AS games, CAST(sum(disk_before) AS BIGINT) AS before_bytes, CAST(sum(disk_after) AS BIGINT) AS after_bytes,

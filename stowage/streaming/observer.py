@@ -6,12 +6,15 @@ not seen, not settled, or of another build before. State holds one row per insta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from stowage.session import shared_folder
+
 READY = "key string, seq long, build string, seen boolean, ready boolean"
 
 
@@ -48,3 +51,13 @@ def ready_installs(reports: DataFrame) -> DataFrame:
 
 def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """All that a stream gives for the input there is, through a file sink in the shared folder; a restart goes on from its checkpoint."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
