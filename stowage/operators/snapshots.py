@@ -44,8 +44,11 @@ def snapshot_changes(df: DataFrame, snapshot: str, keys: list[str], values: list
     packed = packed.cast("decimal(38,0)") + (row_hash([F.col(quoted(v)) for v in values]).cast("decimal(20,0)") + F.lit(HALF).cast("decimal(20,0)"))
     slim = df.select(F.col(quoted(snapshot)).alias("s"), *[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], packed.cast("decimal(38,0)").alias("row"))
     out = fresh(keys, "change_kind")
+    if len(numbers) < 2:
+        nothing = slim.where(F.lit(False))
+        return nothing.select(F.col("s").alias(snapshot), *[F.col(n).alias(k) for k, n in zip(keys, names)], F.lit("").alias(out))
     parts = []
-    for start in range(0, max(len(numbers) - 1, 1), at_once - 1):
+    for start in range(0, len(numbers) - 1, at_once - 1):
         own = numbers[start : start + at_once]
         rows = slim.where(F.col("s").isin(own)) if len(own) < len(numbers) else slim.where("s is not null")
         held = rows.groupBy(*names).agg(*[F.max(F.when(F.col("s") == n, F.col("row"))).alias(f"v{i}") for i, n in enumerate(own)])
@@ -54,8 +57,6 @@ def snapshot_changes(df: DataFrame, snapshot: str, keys: list[str], values: list
             old, new = F.col(f"v{i - 1}"), F.col(f"v{i}")
             kind = F.when(old.isNull() & new.isNotNull(), "added").when(new.isNull() & old.isNotNull(), "removed").when(F.pmod(old, F.lit(SHIFT).cast("decimal(20,0)")) != F.pmod(new, F.lit(SHIFT).cast("decimal(20,0)")), "changed")
             pairs.append(F.struct(F.lit(own[i]).cast(df.schema[snapshot].dataType).alias("s"), kind.alias("kind")))
-        if not pairs:
-            pairs = [F.struct(F.lit(None).cast(df.schema[snapshot].dataType).alias("s"), F.lit(None).cast("string").alias("kind"))]
         parts.append(held.select(*names, F.explode(F.filter(F.array(*pairs), lambda p: p["kind"].isNotNull())).alias("p")))
     found = parts[0]
     for part in parts[1:]:

@@ -43,6 +43,15 @@ def tasks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def busy(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as the cluster has cores, for work that is heavy per row.
+
+    Only an input too small to fill the cores is shuffled; a large scan keeps its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only local sessions that name none get one of this machine."""
     context = spark.sparkContext
