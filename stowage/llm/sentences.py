@@ -25,9 +25,11 @@ GOES_ON = {
     "es": "p. ej p.ej ee ee. uu ee.uu núm núms pág págs aprox sr sra srta dr dra ud uds fig art cap vol máx mín",
     "ru": "т. е т.е т. к т.к т. н напр см ср стр рис табл ок тыс млн млрд гл им св ст пп разд",
     "hi": "डॉ श्री प्रो सं रु",
-    "it": "ad es p. es pag pagg sig dott circa",
-    "pt": "por ex pág nº dra exmo",
+    "it": "p. es pag pagg dott",
+    "pt": "p. ex pág nº exmo",
 }
+# Those of them that are words too; a capital behind them begins a sentence.
+ALSO_WORDS = frozenset("no art mind gem op tab max min sec gen rep inkl".split())
 # Those that may also end a sentence; a capital behind them decides.
 MAY_END = {
     "all": "etc a.m p.m a. m p. m min hr hrs inc ltd co corp jr sr usw u. s. w usf std tsd т. д т.д т. п т.п г гг руб коп кг мин сек esq bros",
@@ -108,7 +110,7 @@ def _dot_ends(text: str, start: int, at: int, behind: int) -> bool:
     next_word = NAME_LIKE.match(text, behind)
     lower_start = text[behind].islower() and ((next_word and not next_word.group().endswith((".", "_"))) or regex.match(r"\w+", text[behind:behind + 20]).group() in LOWER_NAMES)
     if joined in NEVER or low in NEVER:
-        return False
+        return low in ALSO_WORDS and joined not in NEVER and text[behind].isupper()
     if regex.fullmatch(r"\p{L}(?:\.\p{L})+", token) and low not in ENDING:
         return False
     if joined in ENDING or low in ENDING:
@@ -231,7 +233,7 @@ def _blocks(text: str):
             open_from, listed = None, None
             continue
         bullet, number = BULLET.match(line), NUMBERED.match(line)
-        if number and open_from is not None and listed != int(number.group(1)) - 1:
+        if number and open_from is not None and listed != int(number.group(1)) - 1 and not (marker and number.group(1) == "1"):
             number = None  # a wrapped line that happens to begin with a number
         if HEADING.match(line):
             if open_from is not None:
