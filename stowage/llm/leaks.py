@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.session import busy
+
 #: Least passage: words, or characters of scripts without spaces.
 WORDS, CHARACTERS = 14, 40
 #: Share of a passage's words that may differ. Alignment tells whole from part at its edges only roughly, hence a margin.
@@ -47,6 +49,7 @@ DROPPED = regex.compile(r"[\p{Cf}\p{Mn}'’ʼ`´]+")
 TAG = regex.compile(r"</?[A-Za-z][^<>]{0,60}>")
 # Letters of other scripts that pass for Latin ones, used in words that mix scripts.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁԛһӏкмтвнαορνικτυχ", "aeopcyxijsdqhlkmtbhaopviktux")
+IS_WIDE = regex.compile(rf"[{WIDE}]")
 MIXED = regex.compile(r"(?=.*\p{Latin})(?=.*[\p{Cyrillic}\p{Greek}])")
 PRIME = np.uint64((1 << 61) - 1)
 
@@ -67,7 +70,7 @@ def words(text: str) -> list[str]:
 
 
 def is_wide(word: str) -> bool:
-    return len(word) == 1 and regex.match(rf"[{WIDE}]", word) is not None
+    return len(word) == 1 and word > "\u2e00" and IS_WIDE.match(word) is not None
 
 
 def lengths(tokens: list[str]) -> list[float]:
@@ -134,6 +137,15 @@ class Passages:
         self.items = [(number, words(text)) for number, text in items]
         spread = Counter(w for _, tokens in self.items for w in set(tokens))
         self.rare = [{w for w in tokens if spread[w] <= 1 and w not in shared and not is_wide(w)} for _, tokens in self.items]
+        #: The same words by first and by last letter; similar words share one of the two.
+        self.ends: list[dict[str, list[str]]] = []
+        for rare in self.rare:
+            ends: dict[str, list[str]] = defaultdict(list)
+            for w in rare:
+                if len(w) > 3 and not w[0].isdigit():
+                    ends["^" + w[0]].append(w)
+                    ends["$" + w[-1]].append(w)
+            self.ends.append(dict(ends))
         self.common = {w for w, n in spread.items() if n > 1 or w in shared or is_wide(w)}
         self.sets: list[frozenset[int]] = []
         #: Whether all words of a passage occur in other items too.
@@ -149,6 +161,9 @@ class Passages:
                     self.plain.append(not any(w in self.rare[k] for w in tokens[a:b]))
                     self.owner.append(k)
         self.size = int(np.median([len(s) for s in self.sets])) if self.sets else 1
+        #: All shingles of items, and the least number of them in a block that holds enough of a passage.
+        self.marks = np.array(sorted(set().union(*self.sets)), dtype=np.uint64) if self.sets else np.zeros(0, np.uint64)
+        self.need = min((math.ceil(CONTAINED * len(s)) for s in self.sets), default=1)
         #: Sizes of blocks in shingles, and the bands and rows of each.
         self.sizes = [max(8, self.size // 2), self.size, 2 * self.size, 4 * self.size, 8 * self.size]
         self.plans = [plan_bands(s, self.size) for s in self.sizes]
@@ -192,7 +207,10 @@ class Passages:
         hashes = np.fromiter((word_hash(w) for w in tokens), dtype=np.uint64, count=len(tokens))
         marks = shingles(hashes)
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if not len(marks):
+        if not len(marks) or not len(self.marks):
+            return found
+        known = self.marks[np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)] == marks
+        if np.count_nonzero(known) < self.need:
             return found
         wide = sum(map(is_wide, tokens)) * 3 > len(tokens)
         block = (CHARACTERS if wide else 2 * WORDS) if len(marks) > 2 * WORDS else len(marks)
@@ -201,15 +219,17 @@ class Passages:
         kind = next((k for k, s in enumerate(self.sizes) if s >= block), len(self.sizes) - 1)
         bands, rows = self.plans[kind]
         table = self.bands[kind]
-        lowest = permuted(marks, bands * rows)
         starts = list(range(0, max(len(marks) - block + step, 1), step))
-        # minima of half blocks, then of neighbouring halves
-        halves = np.minimum.reduceat(lowest, np.arange(0, len(marks), step), axis=0)
-        for n, a in enumerate(starts):
-            signature = halves[n] if n + 1 >= len(halves) else np.minimum(halves[n], halves[n + 1])
+        counts = np.concatenate([[0], np.cumsum(known)])
+        for a in starts:
             b = min(a + 2 * step, len(marks))
+            # a passage can't be contained in a block with fewer of the items' shingles than that
+            if counts[b] - counts[a] < self.need:
+                continue
+            signature = permuted(marks[a:b], bands * rows).min(axis=0)
             own: set[int] | None = None
             asked: set[int] = set()
+            named: dict[int, bool] = {}
             for band in range(bands):
                 for passage in table.get((band, signature[band * rows : (band + 1) * rows].tobytes()), ()):
                     if passage in asked:
@@ -217,8 +237,13 @@ class Passages:
                     asked.add(passage)
                     if own is None:
                         own = set(marks[a:b].tolist())
-                    if len(self.sets[passage] & own) >= CONTAINED * len(self.sets[passage]) and (self.plain[passage] or self._names(self.owner[passage], tokens[a : b + SHINGLE - 1])):
-                        found[self.owner[passage]].append((a, b + SHINGLE - 1))
+                    k = self.owner[passage]
+                    if len(self.sets[passage] & own) < CONTAINED * len(self.sets[passage]):
+                        continue
+                    if not self.plain[passage] and k not in named:
+                        named[k] = self._names(k, tokens[a : b + SHINGLE - 1])
+                    if self.plain[passage] or named[k]:
+                        found[k].append((a, b + SHINGLE - 1))
         return found
 
     def _names(self, k: int, block: list[str]) -> bool:
@@ -226,8 +251,9 @@ class Passages:
         rare = self.rare[k]
         if any(w in rare for w in block):
             return True
-        strange = {w for w in block if len(w) > 3 and w not in self.common}
-        return any(similar(w, x) for w in strange for x in rare if len(x) > 3)
+        ends = self.ends[k]
+        strange = {w for w in block if len(w) > 3 and w not in self.common and not w[0].isdigit()}
+        return any(similar(w, x) for w in strange for x in (*ends.get("^" + w[0], ()), *ends.get("$" + w[-1], ())))
 
     def leaks(self, text: str | None) -> list[int]:
         """Numbers of the items that a text leaks."""
@@ -314,9 +340,11 @@ class Passages:
 
 
 def similar(a: str, b: str) -> bool:
-    """Whether two words differ by one edit or swap, or by two if they are long."""
+    """Whether two words differ by one edit or swap, or by two if they are long. Another number is another number."""
     if a == b:
         return True
+    if a[0].isdigit() or b[0].isdigit():
+        return False
     most = 1 if min(len(a), len(b)) < 8 else 2
     if abs(len(a) - len(b)) > most or (a[0] != b[0] and a[-1] != b[-1]):
         return False
@@ -361,6 +389,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     rows; other columns play no part. Texts are searched whole.
     """
     spark, parts = documents.sparkSession, []
+    texts = busy(documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")))
     for group, shared in _groups(items, item_key, item_text):
         sent = spark.sparkContext.broadcast((group, shared))
         made: list[Passages] = []
@@ -372,7 +401,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
 
         find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         udf = F.arrow_udf(lambda texts, find=find: find(texts), "array<bigint>")
-        parts.append(documents.select(F.col(doc_key).alias("doc"), F.explode(udf(F.col(doc_text))).alias("item")))
+        parts.append(texts.select("doc", F.explode(udf(F.col("text"))).alias("item")))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)

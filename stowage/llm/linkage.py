@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.skew import fragment_replicate_join
-from stowage.session import checkpointed
+from stowage.session import busy, checkpointed
 
 # Words that say nothing about which game it is.
 EDITION = frozenset("edition definitive complete goty deluxe ultimate enhanced remastered anniversary collectors premium standard legendary".split())
@@ -378,7 +378,7 @@ def _reader(folder: bool):
 def _forms(df: DataFrame, key: str, name: str, folder: str) -> DataFrame:
     """Distinct (id, form, a, b): the two strings of each record read, and a hash of what was read."""
     rows = df.select(F.col(key).alias("id"), F.col(name).alias("name"), F.col(folder).alias("folder")).where("id is not null").distinct()
-    rows = rows.select("id", _reader(False)("name").alias("a"), _reader(True)("folder").alias("b"))
+    rows = busy(rows).select("id", _reader(False)("name").alias("a"), _reader(True)("folder").alias("b"))
     # a record with nothing to read in either string can't be linked
     rows = rows.where("a is not null or b is not null")
     return rows.withColumn("form", F.xxhash64(F.to_json("a"), F.lit("|"), F.to_json("b"), F.col("a").isNull())).distinct()

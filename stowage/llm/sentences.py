@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.session import busy
+
 # Abbreviations after which a sentence goes on, by language, without their last dot and in lower case.
 # A space stands in those of several words.
 GOES_ON = {
@@ -295,4 +297,4 @@ def sentence_units(df: DataFrame, key: str = "doc_id", text: str = "text", kind:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
     lined = F.coalesce(F.col(kind).isin(*line_kinds), F.lit(False)) if kind else F.lit(False)
-    return df.select(key, F.explode(find(F.col(text), lined)).alias("unit")).select(key, "unit.start_at", "unit.end_at")
+    return busy(df).select(key, F.explode(find(F.col(text), lined)).alias("unit")).select(key, "unit.start_at", "unit.end_at")

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.session import busy
+
 #: Folder of public tokenizer files; read by the driver only, the tables travel as a broadcast of a few MB.
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
@@ -221,7 +223,7 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", name: str
         encoder = shared.value
         return _lists(encoder.encode(t) for t in texts.to_pylist())
 
-    return df.withColumn(ids, encode(F.col(text)))
+    return busy(df).withColumn(ids, encode(F.col(text)))
 
 
 def decoded(df: DataFrame, ids: Column, name: str = TOKENIZER, folder: str = TOKENIZERS) -> Column:
