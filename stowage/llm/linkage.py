@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -41,12 +42,18 @@ BRACKETED = regex.compile(r"[(\[]([^)\]]*)[)\]]")
 VERSION = regex.compile(r"\bv\d+(?:[. ]\d+)*\b")
 GLUED_VERSION = regex.compile(r"(?<=\p{L}|\d)[vV]\d+\.\d+(?:\.\d+)*$")
 WORD = regex.compile(r"[^\W_]+")
+MARKS = regex.compile(r"[\p{Mn}\p{Cf}'’`´]")
+SLASH = regex.compile(r"[/\\]")
+FRAME = regex.compile(r"^[\s\"“”']+|[\s\"“”'.]+$")
+PARTED = regex.compile(r"[\s_-]")
+INITIALS = regex.compile(r"(\p{Lu}\p{L}{0,5}?\p{Lu}|\p{Lu}\p{L}{0,4}\p{Lu}\p{L}?|\p{Lu}{2,7})(\d{0,2})")
 CAMEL = regex.compile(r"(?<=[\p{Ll}])(?=\p{Lu})|(?<=\p{L})(?=\p{N})")
 #: A word is common if it stands in this share of works, and in so many at least.
 COMMON, COMMON_LEAST = 1 / 2000, 4
 FORM = "struct<core:string,number:int,kind:string,acronym:string,code:string,cut:boolean>"
 
 
+@lru_cache(200_000)
 def similar(a: str, b: str) -> bool:
     """One edit or swap of neighbours apart, or two in words of eight letters or more."""
     if a == b:
@@ -76,7 +83,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 def _plain(text: str) -> str:
     text = unicodedata.normalize("NFKD", text.replace("™", "").replace("®", ""))
-    return regex.sub(r"[\p{Mn}\p{Cf}'’`´]", "", text)
+    return MARKS.sub("", text)
 
 
 def read_form(text: str | None, folder: bool = False) -> dict | None:
@@ -88,20 +95,20 @@ def read_form(text: str | None, folder: bool = False) -> dict | None:
         return None
     text = _plain(text)
     if folder:
-        parts = [p for p in regex.split(r"[/\\]", text) if WORD.search(p)]
+        parts = [p for p in SLASH.split(text) if WORD.search(p)]
         if not parts:
             return None
-        text = regex.sub(r"^[\s\"“”']+|[\s\"“”'.]+$", "", parts[-1])
+        text = FRAME.sub("", parts[-1])
         code = CODE.fullmatch(text.lower().replace(" ", ""))
         if code:
             return {"core": "", "number": None, "kind": "", "acronym": "", "code": code.group(1) + code.group(2), "cut": False}
-        if not regex.search(r"[\s_-]", text):
+        if not PARTED.search(text):
             text = CAMEL.sub(" ", GLUED_VERSION.sub("", text))
     cut = text.rstrip().endswith(("…", "..."))
     acronym = ""
     text = BRACKETED.sub(lambda m: " " if _is_tag(m.group(1)) else f" {m.group(1)} ", text)
     bare = text.strip().rstrip("….")
-    initials = regex.fullmatch(r"(\p{Lu}\p{L}{0,5}?\p{Lu}|\p{Lu}\p{L}{0,4}\p{Lu}\p{L}?|\p{Lu}{2,7})(\d{0,2})", bare)
+    initials = INITIALS.fullmatch(bare)
     if not folder and initials and len(bare) <= 8:
         acronym = initials.group(1).lower()
     words = WORD.findall(VERSION.sub(" ", text.lower().replace("&", " and ")))
@@ -114,7 +121,7 @@ def read_form(text: str | None, folder: bool = False) -> dict | None:
             number = int(w)
         elif w in ROMAN and place and (w != "x" or place == len(words) - 1):
             number = ROMAN[w]
-        elif near := next((t for t in LONG_TAGS if abs(len(t) - len(w)) <= 1 and distance(w, t, 1) <= 1), None):
+        elif near := misspelled_tag(w):
             kind = kind or KINDS.get(near, "")
         else:
             core.append(w)
@@ -126,6 +133,12 @@ def read_form(text: str | None, folder: bool = False) -> dict | None:
     return {"core": " ".join(core), "number": None if cut else number, "kind": kind, "acronym": acronym, "code": "", "cut": cut}
 
 
+@lru_cache(200_000)
+def misspelled_tag(word: str) -> str | None:
+    """The tag that a word is with one error."""
+    return next((t for t in LONG_TAGS if abs(len(t) - len(word)) <= 1 and distance(word, t, 1) <= 1), None)
+
+
 def _is_tag(inner: str) -> bool:
     words = WORD.findall(inner.lower())
     return all(w in TAGS or w in EDITION or w.isdigit() for w in words)
