@@ -58,6 +58,14 @@ BEFORE = regex.compile(r"\S+\Z")
 NAME_LIKE = regex.compile(r"[\w-]+(?:[._](?!\p{Lu}\p{Ll})[\w-]+)+")
 CASELESS = regex.compile(r"[\p{Lo}\p{M}]")
 WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+RUN = regex.compile(r"\w+")
+LETTERS = regex.compile(r"\p{L}+")
+DOTTED = regex.compile(r"\p{L}(?:\.\p{L})+")
+FULL_STOP = regex.compile(r"[\p{SB=STerm}--[!?]]|[｡．]", regex.V1)
+LOUD = regex.compile(r"[!?]")
+IDEOGRAPHS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+DEVANAGARI = regex.compile(r"\p{Devanagari}")
+CAPITALIZED = regex.compile(r"\p{Lu}\p{Ll}+(?=[\s,.'’!?:]|$)")
 CLOSES = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "「": "」", "『": "』", "【": "】", "〔": "〕", "〈": "〉", "《": "》", "«": "»", "“": "”", "„": "“", "‚": "‘", '"': '"'}
 QUOTES = frozenset("「『«“„‚\"")
 ENDS = frozenset(CLOSES.values()) | {"’", "”"}
@@ -110,10 +118,10 @@ def _dot_ends(text: str, start: int, at: int, behind: int) -> bool:
     token, before = _word_before(text, start, at)
     low, joined = token.lower(), f"{before} {token}".lower()
     next_word = NAME_LIKE.match(text, behind)
-    lower_start = text[behind].islower() and ((next_word and not next_word.group().endswith((".", "_"))) or regex.match(r"\w+", text[behind:behind + 20]).group() in LOWER_NAMES)
+    lower_start = text[behind].islower() and ((next_word and not next_word.group().endswith((".", "_"))) or RUN.match(text, behind).group() in LOWER_NAMES)
     if joined in NEVER or low in NEVER:
         return low in ALSO_WORDS and joined not in NEVER and text[behind].isupper()
-    if regex.fullmatch(r"\p{L}(?:\.\p{L})+", token) and low not in ENDING:
+    if DOTTED.fullmatch(token) and low not in ENDING:
         return False
     if joined in ENDING or low in ENDING:
         size = len(joined) if joined in ENDING else len(low)
@@ -123,7 +131,7 @@ def _dot_ends(text: str, start: int, at: int, behind: int) -> bool:
             return False
         return bool(before) and before[-1:].isalpha() and before.islower()
     if token.isdigit() and len(token) <= 3:
-        word = regex.match(r"\p{L}+", text[behind:behind + 20])
+        word = LETTERS.match(text, behind, behind + 20)
         if word and (before.lower() in BEFORE_ORDINAL or word.group().lower() in MONTHS):
             return False
     # a long plain word is no abbreviation, so a lower-case sentence may follow
@@ -141,8 +149,8 @@ def _ends(text: str, start: int, begin: int, end: int, close: int, pair: tuple[i
     if behind >= len(text):
         return False
     gap, new = behind > close, text[behind]
-    wide = bool(regex.search(r"[。！？｡．।॥]", stop)) or bool(regex.search(r"[\p{SB=STerm}--[!?]]", stop, regex.V1))
-    omission = not wide and not regex.search(r"[!?]", stop) and ("…" in stop or "‥" in stop or len(stop) > 1)
+    wide = FULL_STOP.search(stop) is not None
+    omission = not wide and not LOUD.search(stop) and ("…" in stop or "‥" in stop or len(stop) > 1)
     if new in ",;:，、；：)）]」』" or (new in "—–-" and gap and not text[behind + 1 : behind + 2].isalnum()):
         return False
     if pair:
@@ -162,18 +170,19 @@ def _ends(text: str, start: int, begin: int, end: int, close: int, pair: tuple[i
     if omission:
         if CASELESS.match(last) and CASELESS.match(new):
             return False
-        if WIDE.match(new) and regex.search(r"\p{Han}|\p{Hiragana}|\p{Katakana}", text[max(start, begin - 12) : begin]):
+        if WIDE.match(new) and IDEOGRAPHS.search(text, max(start, begin - 12), begin):
             return False
-        if regex.search(r"[\p{Devanagari}]", text[max(start, begin - 12) : begin]) and regex.match(r"\p{Devanagari}", new):
+        if DEVANAGARI.search(text, max(start, begin - 12), begin) and DEVANAGARI.match(new):
             return False
         if not gap:
             return new.isupper() and last.islower() and len(text) > behind + 1 and text[behind + 1].islower()
         name = NAME_LIKE.match(text, behind)
-        return _capital(text, behind) or bool(name) or regex.match(r"\w+", text[behind:behind + 20]) is not None and regex.match(r"\w+", text[behind:behind + 20]).group() in LOWER_NAMES
+        run = RUN.match(text, behind)
+        return _capital(text, behind) or bool(name) or (run is not None and run.group() in LOWER_NAMES)
     if not gap:
         if CASELESS.match(new) and stop != ".":
             return True
-        if not (new.isupper() and regex.match(r"\p{Lu}\p{Ll}+(?=[\s,.'’!?:]|$)", text[behind:behind + 30])) and not (new in "«“„¿¡" and stop != "."):
+        if not (new.isupper() and CAPITALIZED.match(text, behind)) and not (new in "«“„¿¡" and stop != "."):
             return False
         return last.islower() or last in ")%”»" or last.isdigit() or (last.isupper() and stop != ".")
     if stop == ".":
