@@ -183,6 +183,8 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, on: list[tuple[st
         one = one.where(F.col(quoted(to[key])).isNotNull())
     other = fresh([*taken, *renamed], "_right_salt")
     one = replicate(one, plan, [to[k] for k in right_keys], other).repartition(plan.tasks, *[F.col(quoted(to[k])) for k in right_keys], F.col(other))
+    # estimates made before an explode or a checkpoint may be far too low, so no side is left to be broadcast by them
+    one = one.hint("merge")
     condition = [F.col(quoted(a)) == F.col(quoted(to[b])) for a, b in on] + [F.col(salt) == F.col(other)]
     return many.join(one, condition, how).drop(salt, other)
 
