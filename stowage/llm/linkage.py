@@ -444,7 +444,8 @@ def link_records(left: DataFrame, right: DataFrame, left_columns: tuple[str, str
     left_keys = works.select(F.col("form").alias("work"), F.explode(of_titles("a", "b")).alias("key"))
     right_keys = records.select(F.col("form").alias("record"), F.explode(of_entries("a", "b")).alias("key"))
     pairs = fragment_replicate_join(left_keys, right_keys, [("key", "key")], by=["work"]).select("work", "record").distinct()
-    both = pairs.join(works.select(F.col("form").alias("work"), F.col("a").alias("ta"), F.col("b").alias("tb")), "work").join(records.select(F.col("form").alias("record"), F.col("a").alias("ra"), F.col("b").alias("rb")), "record")
+    # forms and ids grow with the data, and estimates after a checkpoint are too low: these joins are merged, never broadcast
+    both = pairs.join(works.select(F.col("form").alias("work"), F.col("a").alias("ta"), F.col("b").alias("tb")).hint("merge"), "work").join(records.select(F.col("form").alias("record"), F.col("a").alias("ra"), F.col("b").alias("rb")).hint("merge"), "record")
     compared = checkpointed(both.select("work", "record", levels("ta", "tb", "ra", "rb").alias("v")).where("v is not null").select("work", "record", "v.name", "v.folder", "v.number"))
 
     patterns = [((r["name"], r["folder"], r["number"]), r["n"]) for r in compared.groupBy("name", "folder", "number").agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -455,5 +456,5 @@ def link_records(left: DataFrame, right: DataFrame, left_columns: tuple[str, str
     # a record's far better partner overrules the others
     best = F.max("strength").over(Window.partitionBy("record"))
     good = good.withColumn("best", best).where("strength >= best - 2").select("work", "record", "confidence")
-    ids = good.join(titles.select(F.col("form").alias("work"), F.col("id").alias("left_id")), "work").join(entries.select(F.col("form").alias("record"), F.col("id").alias("right_id")), "record")
+    ids = good.join(titles.select(F.col("form").alias("work"), F.col("id").alias("left_id")).hint("merge"), "work").join(entries.select(F.col("form").alias("record"), F.col("id").alias("right_id")).hint("merge"), "record")
     return ids.groupBy("left_id", "right_id").agg(F.max("confidence").alias("confidence"))
