@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.names import fresh, quoted
 from stowage.operators.skew import LoadPlan, fragment_replicate_join, plan_load
+from stowage.session import checkpointed
 
 #: Parts components of a canonical path and fields of a canonical object; neither letter nor digit.
 PART, FIELD = "/", "\x1e"
@@ -44,13 +45,13 @@ def hashed(canonical: Column) -> tuple[Column, Column]:
     return F.unhex(F.md5(canonical.cast("binary"))), F.xxhash64(canonical)
 
 
-def copy_groups(df: DataFrame, key: str, canonical: Column) -> DataFrame:
-    """One row per canonical record: digest, check (0 unless digests collided), keep (least key), copies, collided.
-
-    Rows whose canonical form is null are in no group.
-    """
+def _slim(df: DataFrame, key: str, canonical: Column) -> DataFrame:
+    """(key, digest, check) of each record that has a canonical form."""
     digest, check = hashed(canonical)
-    slim = df.select(F.col(quoted(key)).alias("key"), digest.alias("digest"), check.alias("check")).where("digest is not null")
+    return df.select(F.col(quoted(key)).alias("key"), digest.alias("digest"), check.alias("check")).where("digest is not null")
+
+
+def _groups(slim: DataFrame) -> DataFrame:
     groups = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("keep"), F.min("check").alias("low"), F.max("check").alias("high"))
     whole = groups.where("low = high").select("digest", F.lit(0).cast("long").alias("check"), "keep", "copies", F.lit(False).alias("collided"))
     # none in practice; those that are get grouped again by both hashes
@@ -59,6 +60,14 @@ def copy_groups(df: DataFrame, key: str, canonical: Column) -> DataFrame:
     return whole.unionByName(split.select("digest", "check", "keep", "copies", F.lit(True).alias("collided")))
 
 
+def copy_groups(df: DataFrame, key: str, canonical: Column) -> DataFrame:
+    """One row per canonical record: digest, check (0 unless digests collided), keep (least key), copies, collided.
+
+    Rows whose canonical form is null are in no group.
+    """
+    return _groups(_slim(df, key, canonical))
+
+
 def collapse(df: DataFrame, key: str, canonical: Column) -> DataFrame:
     """The first record (least key) of each group with `copies`; other columns as that record has them.
 
@@ -75,10 +84,10 @@ def copies(df: DataFrame, key: str, canonical: Column, tasks: int | None = None)
     A group may hold a third of all rows: only groups of two or more are joined back, and large ones are cut into
     shards by their known counts. Equal keys can't be told apart, so a repeated key gives no pair with itself.
     """
-    digest, check = hashed(canonical)
-    groups = copy_groups(df, key, canonical).where("copies > 1").select("digest", "keep", F.col("check").alias("group_check"), "copies", "collided")
-    rows = df.select(F.col(quoted(key)).alias("copy_id"), digest.alias("digest"), check.alias("check")).where("digest is not null")
+    # canonical forms are made once; what follows reads 32 bytes a record
+    rows = checkpointed(_slim(df, key, canonical))
+    groups = checkpointed(_groups(rows).where("copies > 1")).select("digest", "keep", F.col("check").alias("group_check"), "copies", "collided")
     plan: LoadPlan = plan_load(groups.groupBy("digest").agg(F.sum("copies").alias("load")), ["digest"], tasks, load="load")
     joined = fragment_replicate_join(rows, groups, [("digest", "digest")], "inner", plan)
     same = (~F.col("collided")) | (F.col("check") == F.col("group_check"))
-    return joined.where(same & (F.col("keep") < F.col("copy_id"))).select(F.col("keep").alias("keep_id"), "copy_id")
+    return joined.where(same & (F.col("keep") < F.col("key"))).select(F.col("keep").alias("keep_id"), F.col("key").alias("copy_id"))
