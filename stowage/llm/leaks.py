@@ -19,6 +19,7 @@ import html
 import math
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ RECALL = 0.995
 #: Hash functions in all; MinHash signatures of blocks are that long at most.
 HASHES = 96
 #: Items sent at once.
-GROUP_ITEMS, GROUP_BYTES = 2_000, 4_000_000
+GROUP_ITEMS, GROUP_BYTES = 500, 1_000_000
 
 WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}"
 TOKEN = regex.compile(rf"[{WIDE}]|\p{{N}}+(?:[.,]\p{{N}}+)*|[\p{{L}}\p{{M}}\p{{N}}--[{WIDE}]]+", regex.V1)
@@ -69,6 +70,7 @@ def words(text: str) -> list[str]:
     return [w.translate(LOOKALIKE) if MIXED.match(w) else w for w in found]
 
 
+@lru_cache(100_000)
 def is_wide(word: str) -> bool:
     return len(word) == 1 and word > "\u2e00" and IS_WIDE.match(word) is not None
 
@@ -137,15 +139,14 @@ class Passages:
         self.items = [(number, words(text)) for number, text in items]
         spread = Counter(w for _, tokens in self.items for w in set(tokens))
         self.rare = [{w for w in tokens if spread[w] <= 1 and w not in shared and not is_wide(w)} for _, tokens in self.items]
-        #: The same words by first and by last letter; similar words share one of the two.
-        self.ends: list[dict[str, list[str]]] = []
-        for rare in self.rare:
-            ends: dict[str, list[str]] = defaultdict(list)
-            for w in rare:
-                if len(w) > 3 and not w[0].isdigit():
-                    ends["^" + w[0]].append(w)
-                    ends["$" + w[-1]].append(w)
-            self.ends.append(dict(ends))
+        #: The item of each such word, and the words by what is left of them without a letter or two.
+        self.item_of = {w: k for k, rare in enumerate(self.rare) for w in rare}
+        self.near: dict[str, list[str]] = defaultdict(list)
+        for w in self.item_of:
+            if len(w) > 3 and not w[0].isdigit():
+                for form in deletions(w):
+                    self.near[form].append(w)
+        self.owners: dict[str, frozenset[int]] = {}
         self.common = {w for w, n in spread.items() if n > 1 or w in shared or is_wide(w)}
         self.sets: list[frozenset[int]] = []
         #: Whether all words of a passage occur in other items too.
@@ -229,7 +230,7 @@ class Passages:
             signature = permuted(marks[a:b], bands * rows).min(axis=0)
             own: set[int] | None = None
             asked: set[int] = set()
-            named: dict[int, bool] = {}
+            named: set[int] | None = None
             for band in range(bands):
                 for passage in table.get((band, signature[band * rows : (band + 1) * rows].tobytes()), ()):
                     if passage in asked:
@@ -240,20 +241,26 @@ class Passages:
                     k = self.owner[passage]
                     if len(self.sets[passage] & own) < CONTAINED * len(self.sets[passage]):
                         continue
-                    if not self.plain[passage] and k not in named:
-                        named[k] = self._names(k, tokens[a : b + SHINGLE - 1])
-                    if self.plain[passage] or named[k]:
+                    if named is None:
+                        named = set().union(*map(self._owners, tokens[a : b + SHINGLE - 1]))
+                    if self.plain[passage] or k in named:
                         found[k].append((a, b + SHINGLE - 1))
         return found
 
-    def _names(self, k: int, block: list[str]) -> bool:
-        """Whether a block has one of the words that only this item has, also misspelled."""
-        rare = self.rare[k]
-        if any(w in rare for w in block):
-            return True
-        ends = self.ends[k]
-        strange = {w for w in block if len(w) > 3 and w not in self.common and not w[0].isdigit()}
-        return any(similar(w, x) for w in strange for x in (*ends.get("^" + w[0], ()), *ends.get("$" + w[-1], ())))
+    def _owners(self, word: str) -> frozenset[int]:
+        """Items that a word, also misspelled, belongs to alone."""
+        got = self.owners.get(word)
+        if got is None:
+            if len(self.owners) > 200_000:
+                self.owners.clear()
+            if word in self.item_of:
+                got = frozenset((self.item_of[word],))
+            elif len(word) <= 3 or len(word) > 40 or word in self.common or word[0].isdigit():
+                got = frozenset()
+            else:
+                got = frozenset(self.item_of[x] for form in deletions(word) for x in self.near.get(form, ()) if similar(word, x))
+            self.owners[word] = got
+        return got
 
     def leaks(self, text: str | None) -> list[int]:
         """Numbers of the items that a text leaks."""
@@ -339,6 +346,14 @@ class Passages:
         return length, differing / max(matched + differing, 1), own_matched / rare_there if rare_there else 1.0
 
 
+def deletions(word: str) -> set[str]:
+    """A word without up to one letter, or two if it is long enough to be found with two errors."""
+    found = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if len(word) >= 7:
+        found |= {w[:i] + w[i + 1 :] for w in list(found) for i in range(len(w)) if len(w) < len(word)}
+    return found
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two words differ by one edit or swap, or by two if they are long. Another number is another number."""
     if a == b:
