@@ -10,6 +10,7 @@ entries bound the blocks in which this happens; in logs and manifests each line
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -75,18 +76,23 @@ LINE_KINDS = ("log", "manifest")
 def _pairs(text: str) -> list[tuple[int, int]]:
     """Outermost matched quotations and brackets (first, last index), in order. What is never closed opens nothing."""
     stack: list[tuple[str, int]] = []
+    awaited: Counter[str] = Counter()  # closing marks that something open waits for, so that stray ones cost nothing
     found: list[tuple[int, int]] = []
     for m in MARK.finditer(text):
         mark, at = m.group(), m.start()
-        closing = next((k for k in range(len(stack) - 1, -1, -1) if CLOSES[stack[k][0]] == mark or (stack[k][0] == "„" and mark == "”")), None)
-        if closing is not None:
-            found.append((stack[closing][1], at))
-            del stack[closing:]
+        if awaited[mark] or (mark == "”" and awaited["“"]):
+            while True:
+                opener, began = stack.pop()
+                awaited[CLOSES[opener]] -= 1
+                if CLOSES[opener] == mark or (opener == "„" and mark == "”"):
+                    break
+            found.append((began, at))
         elif mark in CLOSES:
             behind = text[at + 1 : at + 2]
             if mark == '"' and (not behind or behind.isspace()):
                 continue
             stack.append((mark, at))
+            awaited[CLOSES[mark]] += 1
     found.sort()
     outer: list[tuple[int, int]] = []
     for pair in found:
@@ -194,6 +200,7 @@ def _split(text: str, first: int) -> list[tuple[int, int]]:
     """Units of one block; before `first` (behind a list marker) nothing ends."""
     pairs = _pairs(text)
     starts = [a for a, _ in pairs]
+    opening = set(starts)
     units, start = [], SPACE.match(text).end()
     sentence = max(start, first)
     for m in STOP.finditer(text):
@@ -216,9 +223,9 @@ def _split(text: str, first: int) -> list[tuple[int, int]]:
                 break
             if inside and at == inside[1]:
                 pair, inside = inside, None
-            elif text[at] in CLOSES and text[at] != '"' and at in starts:
+            elif text[at] in CLOSES and text[at] != '"' and at in opening:
                 break
-            elif text[at] == '"' and at in starts:
+            elif text[at] == '"' and at in opening:
                 break
             close = at + 1
         if inside is not None:

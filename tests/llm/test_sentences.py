@@ -71,6 +71,7 @@ def test_very_long_text_is_linear():
     text = "Nothing was rewritten. " * 20_000
     assert len(sentences.units(text)) == 20_000
     assert len(sentences.units("x" * 300_000)) == 1 and len(sentences.units("(" * 20_000)) == 1 and len(sentences.units("." * 50_000)) == 1
+    assert len(sentences.units("(" * 20_000 + "]" * 20_000 + '"a" ' * 20_000)) == 1
 
 
 def test_rows(spark):
