@@ -108,6 +108,12 @@ def _capital(text: str, at: int) -> bool:
     return at < len(text) and not text[at].islower() and text[at] not in ",;:)%/&+=—–-"
 
 
+def _begins(text: str, at: int) -> bool:
+    """The same, or a name in lower case: of a file or a known product."""
+    run = RUN.match(text, at)
+    return _capital(text, at) or NAME_LIKE.match(text, at) is not None or (run is not None and run.group() in LOWER_NAMES)
+
+
 def _word_before(text: str, start: int, at: int) -> tuple[str, str]:
     """The run of non-spaces before `at` and the word before that."""
     m = BEFORE.search(text, max(start, at - 80), at)
@@ -157,19 +163,19 @@ def _ends(text: str, start: int, begin: int, end: int, close: int, pair: tuple[i
     gap, new = behind > close, text[behind]
     wide = FULL_STOP.search(stop) is not None
     omission = not wide and not LOUD.search(stop) and ("…" in stop or "‥" in stop or len(stop) > 1)
-    if new in ",;:，、；：)）]」』" or (new in "—–-" and gap and not text[behind + 1 : behind + 2].isalnum()):
+    if new in ",;:!?…，、；：！？)）]」』" or (new in "—–-" and gap and not text[behind + 1 : behind + 2].isalnum()):
         return False
     if pair:
         opener = text[pair[0]]
         at_start = not text[start : pair[0]].strip()
         if opener not in QUOTES:
-            return at_start and (gap or wide) and _capital(text, behind)
+            return at_start and (gap or wide) and _begins(text, behind)
         led = text[start : pair[0]].rstrip()[-1:] in (":", "：")
         if CASELESS.match(new) or WIDE.match(new):
             return led or (at_start and gap and not wide)
         if new in QUOTES and at_start:
             return True
-        return gap and _capital(text, behind) if not led else gap and (_capital(text, behind) or bool(NAME_LIKE.match(text, behind)))
+        return gap and (_begins(text, behind) if led else _capital(text, behind))
     if wide:
         return not (stop == "．" and text[begin - 1 : begin].isdigit() and new.isdigit() and not gap)
     last = text[begin - 1 : begin]
@@ -182,9 +188,7 @@ def _ends(text: str, start: int, begin: int, end: int, close: int, pair: tuple[i
             return False
         if not gap:
             return new.isupper() and last.islower() and len(text) > behind + 1 and text[behind + 1].islower()
-        name = NAME_LIKE.match(text, behind)
-        run = RUN.match(text, behind)
-        return _capital(text, behind) or bool(name) or (run is not None and run.group() in LOWER_NAMES)
+        return _begins(text, behind)
     if not gap:
         if CASELESS.match(new) and stop != ".":
             return True

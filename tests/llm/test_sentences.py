@@ -18,7 +18,7 @@ CASES = [
     ["“Is it full?” the dialog asked.", "(The log shows 5 entries.)", "It hung at 9 %... then it resumed.", "It ended...", "Then nothing."],
     ["The U.S. build differs from the E.U. build.", "Use max. 17 threads.", "I use it on drive D.", "Then retry."],
     ["Große Dateien, z. B. index.bin, bleiben.", "Am 3. Mai um 2:44 Uhr brach er ab.", "Das betrifft Logs usw.", "Ende (s. Abschn. 3.1)!"],
-    ["« Est-il plein ? » demande la boîte.", "Voir p. 5, c.-à-d. env. 7 Go.", "Ça marche !"],
+    ["« Est-il plein ? » demande la boîte.", "Voir p. 5, c.-à-d. env. 7 Go.", "Ça marche !", "Il signale les journaux, etc. !", "(Voir fig. 2.)", "btrfs reste."],
     ["¿Seguro?", "¡Claro que sí!", "La versión de EE. UU. no pasa.", "Omitió 5 a las 2:30 p. m. del lunes."],
     ["Пропущены шрифты и т. д.", "В 2024 г. папка выросла, т. е. вдвое.", "«Диск заполнен?» — спросила программа."],
     ["डॉ. Kilo वाला औज़ार।", "कार्य 9 % पर रुका... फिर चल पड़ा।"],
