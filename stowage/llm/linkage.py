@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.skew import fragment_replicate_join
-from stowage.session import busy, checkpointed
+from stowage.session import checkpointed, tasks_of
 
 # Words that say nothing about which game it is.
 EDITION = frozenset("edition definitive complete goty deluxe ultimate enhanced remastered anniversary collectors premium standard legendary".split())
@@ -183,7 +183,7 @@ def block_keys(form: dict | None, other: dict | None, common: frozenset[str], re
             if fixed:
                 known.append(min(fixed))
             if w not in common and len(w) >= 4:
-                keys |= {"-" + w[:i] + w[i + 1 :] for i in range(len(w))} | {"-" + w}
+                keys |= {"-" + x for x in deletions(w)}
         if len(known) == len(words) and len(known) > 1:
             size = 3 if len(known) >= 3 else 2
             keys |= {"+" + " ".join(c) for c in combinations(sorted(set(known)), size)}
@@ -317,6 +317,9 @@ def compare(title: dict, path: dict | None, name: dict | None, folder: dict | No
     kinds = {f["kind"] for f in (name, folder) if f is not None and f["kind"]}
     if len(kinds) > 1 or (kinds and kinds != {title["kind"]}):
         return None
+    number = known_number(name, folder)
+    if number == -1 or (number and number != (title["number"] or 0)):
+        return None
     spellings = [title]
     if path is not None and path["core"] and path["core"] != title["core"]:
         spellings.append({**path, "number": title["number"], "kind": title["kind"]})
@@ -326,13 +329,10 @@ def compare(title: dict, path: dict | None, name: dict | None, folder: dict | No
         # a kind may be lost only where every string was cut or is an acronym
         if any(v in (EXACT, NEAR) and not f["cut"] for f, v in strings) or not any(v in AGREE for _, v in strings):
             return None
-    number = known_number(name, folder)
-    if number == -1:
-        return None
     if number is not None:
         glue = folder is not None and not folder["code"] and any(t in glued(title["core"]) for t in trimmed(folder["core"]))
         if number != (title["number"] or 0) and not (glue and number == 0):
-            if number or any(v in (EXACT, NEAR, CODED) for _, v in strings) or not any(v == SHORT for _, v in strings):
+            if any(v in (EXACT, NEAR, CODED) for _, v in strings) or not any(v == SHORT for _, v in strings):
                 return None
             number = None
     return one, two, 0 if number is None else 1 if number == 0 else 2
@@ -388,10 +388,15 @@ def _reader(folder: bool):
     return F.arrow_udf(read, FORM)
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(tasks_of(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _forms(df: DataFrame, key: str, name: str, folder: str) -> DataFrame:
     """Distinct (id, form, a, b): the two strings of each record read, and a hash of what was read."""
     rows = df.select(F.col(key).alias("id"), F.col(name).alias("name"), F.col(folder).alias("folder")).where("id is not null").distinct()
-    rows = busy(rows).select("id", _reader(False)("name").alias("a"), _reader(True)("folder").alias("b"))
+    # repeated rows are combined first; a stated number of partitions keeps Spark from merging them into a few tasks of Python work
+    rows = rows.repartition(_tasks(df), "id", "name", "folder").select("id", _reader(False)("name").alias("a"), _reader(True)("folder").alias("b"))
     # a record with nothing to read in either string can't be linked
     rows = rows.where("a is not null or b is not null")
     return rows.withColumn("form", F.xxhash64(F.to_json("a"), F.lit("|"), F.to_json("b"), F.col("a").isNull())).distinct()
@@ -408,7 +413,8 @@ def link_records(left: DataFrame, right: DataFrame, left_columns: tuple[str, str
     titles = _forms(left, *left_columns).withColumn("a", F.coalesce("a", F.when((F.col("b.code") == "") & (F.col("b.core") != ""), F.col("b")))).where("a is not null")
     titles = checkpointed(titles)
     entries = checkpointed(_forms(right, *right_columns))
-    works, records = titles.select("form", "a", "b").dropDuplicates(["form"]), entries.select("form", "a", "b").dropDuplicates(["form"])
+    tasks = _tasks(left)
+    works, records = (df.select("form", "a", "b").distinct().repartition(tasks, "form").dropDuplicates(["form"]) for df in (titles, entries))
 
     cores = works.select(F.col("a.core").alias("core")).distinct()
     least_count = max(COMMON_LEAST, cores.count() * COMMON)
@@ -445,7 +451,8 @@ def link_records(left: DataFrame, right: DataFrame, left_columns: tuple[str, str
     right_keys = records.select(F.col("form").alias("record"), F.explode(of_entries("a", "b")).alias("key"))
     pairs = fragment_replicate_join(left_keys, right_keys, [("key", "key")], by=["work"]).select("work", "record").distinct()
     # forms and ids grow with the data, and estimates after a checkpoint are too low: these joins are merged, never broadcast
-    both = pairs.join(works.select(F.col("form").alias("work"), F.col("a").alias("ta"), F.col("b").alias("tb")).hint("merge"), "work").join(records.select(F.col("form").alias("record"), F.col("a").alias("ra"), F.col("b").alias("rb")).hint("merge"), "record")
+    both = pairs.join(works.select(F.col("form").alias("work"), F.col("a").alias("ta"), F.col("b").alias("tb")).hint("merge"), "work")
+    both = both.repartition(tasks, "record").join(records.select(F.col("form").alias("record"), F.col("a").alias("ra"), F.col("b").alias("rb")).hint("merge"), "record")
     compared = checkpointed(both.select("work", "record", levels("ta", "tb", "ra", "rb").alias("v")).where("v is not null").select("work", "record", "v.name", "v.folder", "v.number"))
 
     patterns = [((r["name"], r["folder"], r["number"]), r["n"]) for r in compared.groupBy("name", "folder", "number").agg(F.count(F.lit(1)).alias("n")).collect()]
