@@ -197,6 +197,8 @@ PARTIAL = MERGE | {"count": F.count}
 def balanced_aggregate(df: DataFrame, keys: list[str], results: dict[str, tuple[str, str | None]], plan: LoadPlan | None = None, tasks: int | None = None) -> DataFrame:
     """One row per key with the named results, e.g. {"files": ("count", None), "bytes": ("sum", "size")}.
 
+    The plan may be for some of the keys only, where the others depend on them.
+
     Rows are combined before the shuffle, meet by (key, shard), and the shards' results are merged by key. Null is a key of
     its own; nulls in a column are passed over as SQL does (count with None counts all rows). An empty table gives no rows.
     """
@@ -206,7 +208,7 @@ def balanced_aggregate(df: DataFrame, keys: list[str], results: dict[str, tuple[
     salt = fresh([*needed, *results], "_salt")
     columns = [F.col(quoted(k)) for k in keys]
     partial = [PARTIAL[f](F.col(quoted(c)) if c is not None else F.lit(1)).alias(n) for n, (f, c) in results.items()]
-    shards = spread(slim, plan, keys, salt).groupBy(*columns, F.col(salt)).agg(*partial)
+    shards = spread(slim, plan, plan.keys if set(plan.keys) <= set(keys) else keys, salt).groupBy(*columns, F.col(salt)).agg(*partial)
     return shards.groupBy(*columns).agg(*[MERGE[f](F.col(quoted(n))).alias(n) for n, (f, _) in results.items()])
 
 

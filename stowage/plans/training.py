@@ -25,7 +25,8 @@ def p1_game_profile(spark: SparkSession, d: str) -> DataFrame:
     games = table(spark, d, "games").groupBy("id").agg(F.max_by("launcher", "rec_no").alias("launcher"))
     plan = plan_load(files, ["game_id"])
     joined = fragment_replicate_join(files, games, [("game_id", "id")], "left", plan)
-    return balanced_aggregate(joined, ["game_id"], {"file_rows": ("count", None), "bytes": ("sum", "size"), "largest": ("max", "size"), "newest_ns": ("max", "mtime_ns"), "launcher": ("max", "launcher")}, plan)
+    # the launcher depends on the game, so as a key it keeps the aggregation's buffers fixed in size
+    return balanced_aggregate(joined, ["game_id", "launcher"], {"file_rows": ("count", None), "bytes": ("sum", "size"), "largest": ("max", "size"), "newest_ns": ("max", "mtime_ns")}, plan)
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
