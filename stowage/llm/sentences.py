@@ -68,6 +68,7 @@ IDEOGRAPHS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 DEVANAGARI = regex.compile(r"\p{Devanagari}")
 CAPITALIZED = regex.compile(r"\p{Lu}\p{Ll}+(?=[\s,.'’!?:]|$)")
 CLOSES = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "「": "」", "『": "』", "【": "】", "〔": "〕", "〈": "〉", "《": "》", "«": "»", "“": "”", "„": "“", "‚": "‘", '"': '"'}
+MIXED_CLOSE = {"”": ("“", '"'), '"': ("”",)}
 QUOTES = frozenset("「『«“„‚\"")
 ENDS = frozenset(CLOSES.values()) | {"’", "”"}
 LINE_KINDS = ("log", "manifest")
@@ -80,11 +81,13 @@ def _pairs(text: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for m in MARK.finditer(text):
         mark, at = m.group(), m.start()
-        if awaited[mark] or (mark == "”" and awaited["“"]):
+        # where straight and curly marks are mixed, one closes the other
+        wanted = mark if awaited[mark] else next((w for w in MIXED_CLOSE.get(mark, ()) if awaited[w]), None)
+        if wanted:
             while True:
                 opener, began = stack.pop()
                 awaited[CLOSES[opener]] -= 1
-                if CLOSES[opener] == mark or (opener == "„" and mark == "”"):
+                if CLOSES[opener] == wanted:
                     break
             found.append((began, at))
         elif mark in CLOSES:

@@ -40,6 +40,12 @@ def test_wide_scripts(case):
     assert cut("".join(case)) == case
 
 
+def test_mixed_quotation_marks():
+    assert cut('"磁盘满了吗？”程序问。真的吗？') == ['"磁盘满了吗？”程序问。', "真的吗？"]
+    assert cut('“Is it full?" the dialog asked. Yes.') == ['“Is it full?" the dialog asked.', "Yes."]
+    assert cut('„Ist es voll?“, fragte er. „Nein.” Gut.') == ['„Ist es voll?“, fragte er.', "„Nein.”", "Gut."]
+
+
 def test_thai_breaks_at_spaces():
     assert cut("ตัวตรวจสอบ ระบบข้าม\nปิดเกม") == ["ตัวตรวจสอบ", "ระบบข้าม", "ปิดเกม"]
 
