@@ -6,8 +6,8 @@ cut into such passages, documents into overlapping blocks, so that a short passa
 search is a containment search by MinHash, partitioned by size: blocks are grouped by how many shingles they have, and each
 size has its own numbers of bands and rows, chosen so that a passage that is contained to the least share still shares a band with the
 odds asked for. Candidates are verified: first by the exact share of the passage's shingles that the block has, then
-by aligning item and block in order, where misspelled words count as found and one of the words that only this item has
-must be among them (items made from the same phrases differ in those alone).
+by the edit distance of every stretch of the item to the block, in words. Of the words that only this item has some must be
+found, misspelled or not (items made from the same phrases differ in those alone).
 
 The items are a query set against all documents. They are handled in groups of a size that is checked, each of which is sent to
 the workers once; there is no shuffle and no document leaves its task.
@@ -31,12 +31,15 @@ from stowage.session import busy
 
 #: Least passage: words, or characters of scripts without spaces.
 WORDS, CHARACTERS = 14, 40
-#: Share of a passage's words that may differ. Alignment tells whole from part at its edges only roughly, hence a margin.
-CHANGED, MARGIN = 0.2, 0.06
+#: Least share of the item's own words in a stretch that must be found there.
+OWN = 0.3
+#: Cost of an edit, above the own words of any stretch; tokens of a document aligned at once.
+UNIT, PIECE = 1 << 10, 1024
 #: Words per shingle. Five, with every fifth word changed, would leave no shingle whole; two leave two thirds.
 SHINGLE = 2
-#: Least share of a passage's shingles that must lie in a block.
-CONTAINED = 0.45
+#: Least share of a passage's shingles that must lie in a block: of 15 words with 3 changed, begun two or three words off the
+#: nearest cuts, 5 of a cut's 13 shingles are left, the least of all lengths and places.
+CONTAINED = 5 / 13
 #: Chance that a passage with just that share is found.
 RECALL = 0.995
 #: Hash functions in all; MinHash signatures of blocks are that long at most.
@@ -277,73 +280,71 @@ class Passages:
                     spans[-1][1] = max(spans[-1][1], b)
                 else:
                     spans.append([a, b])
-            reach = len(self.items[k][1])
+            reach = max(len(self.items[k][1]) // 2, min(len(self.items[k][1]), 2 * CHARACTERS))
             for a, b in spans:
-                if self.holds(k, tokens[max(0, a - reach // 2) : b + reach // 2]):
+                if self.holds(k, tokens[max(0, a - reach) : b + reach]):
                     out.append(self.items[k][0])
                     break
         return out
 
     def holds(self, k: int, tokens: list[str]) -> bool:
-        best = self.best(k, tokens)
-        return best is not None and best[0] >= 0.86 and best[1] <= CHANGED + MARGIN and best[2] >= 0.3
+        """Whether a passage of the item lies in the tokens: some stretch of it of the least length or more, of which at most
+        one word in five differs and at least OWN of the item's own words are found (misspelled ones count as both).
 
-    def best(self, k: int, tokens: list[str]) -> tuple[float, float, float] | None:
-        """Length (1: just a passage), share of differing words and share of the item's own words of the best local alignment."""
+        A passage of twice the least length has a part of one to two lengths of which no more differs, so no longer stretches
+        are tried. For all first words of stretches at once, row by row of the edit distance: cost counts UNIT for each word
+        changed, left out or put in, less one for each own word found.
+        """
         item, rare = self.items[k][1], self.rare[k]
-        far = lengths(item)
+        width = len(item)
+        far = np.concatenate([[0.0], np.cumsum(lengths(item))])
+        own = np.array([w in rare for w in item], dtype=np.int32)
+        own_before = np.concatenate([[0], np.cumsum(own)])
+        #: Words of the shortest and longest stretch from each word on.
+        least = np.searchsorted(far, far[:-1] + 0.999) - np.arange(width)
+        most = np.minimum(np.searchsorted(far, far[:-1] + 2), width) - np.arange(width)
+        rows, doc, exact = self._numbered(item, tokens)
+        longest = int(most.max(initial=0))
+        span = longest + longest // 5 + 1
+        for first in range(0, max(len(doc) - span, 1), PIECE):
+            piece = doc[first : first + PIECE + span]
+            spelled = np.where(exact[first : first + PIECE + span], 0, UNIT).astype(np.int32)
+            unlike = np.where(rows[:, None] == piece[None, :], spelled[None, :] - own[:, None], np.int32(UNIT))
+            put_in = np.arange(len(piece) + 1, dtype=np.int32) * UNIT
+            start = np.flatnonzero(least + np.arange(width) <= width)
+            cost = np.zeros((len(start), len(piece) + 1), dtype=np.int32)
+            for n in range(1, longest + 1):
+                new = cost + UNIT
+                np.minimum(new[:, 1:], cost[:, :-1] + unlike[start + n - 1], out=new[:, 1:])
+                new -= put_in
+                np.minimum.accumulate(new, axis=1, out=new)
+                cost = new + put_in
+                differ = -(-cost // UNIT)
+                there = own_before[start + n] - own_before[start]
+                good = (differ * 5 <= n) & (differ * UNIT - cost >= OWN * there[:, None]) & (least[start] <= n)[:, None]
+                if good.any():
+                    return True
+                alive = (differ.min(axis=1) * 5 <= most[start]) & (most[start] > n)
+                if not alive.all():
+                    start, cost = start[alive], cost[alive]
+                if not len(start):
+                    break
+        return False
+
+    @staticmethod
+    def _numbered(item: list[str], tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the item's words and of the tokens, where misspelled words get that of the word they stand for, and which tokens are spelled right."""
         forms: dict[str, int] = {}
         for w in item:
             forms.setdefault(w, len(forms))
-        names = list(forms)
         known: dict[str, int] = {}
-        row_of = [forms[w] for w in item]
-        doc = []
         for w in tokens:
-            got = known.get(w)
-            if got is None:
+            if w not in known:
                 got = forms.get(w, -1)
                 if got < 0 and len(w) > 3:
-                    got = next((forms[x] for x in names if abs(len(x) - len(w)) <= 2 and len(x) > 3 and similar(w, x)), -1)
+                    got = next((n for x, n in forms.items() if abs(len(x) - len(w)) <= 2 and len(x) > 3 and similar(w, x)), -1)
                 known[w] = got
-            doc.append(got)
-        wanted = set(row_of)
-        if not any(d in wanted for d in doc):
-            return None
-        # local alignment, match 1, difference -3; each cell also carries where its alignment began and its matches
-        width = len(item)
-        score, began, hits = [0.0] * (width + 1), list(range(width + 1)), [0] * (width + 1)
-        own = [1 if w in rare else 0 for w in item]
-        own_hits = [0] * (width + 1)
-        off = [0] * (width + 1)
-        top: list[tuple[float, int, int, int, int, int]] = []
-        rare_before = np.concatenate([[0], np.cumsum(own)]).tolist()
-        far_before = np.concatenate([[0.0], np.cumsum(far)]).tolist()
-        for d in doc:
-            last, last_began, last_hits, last_own, last_off = 0.0, 0, 0, 0, 0
-            left, left_began, left_hits, left_own, left_off = 0.0, 0, 0, 0, 0
-            for j in range(width):
-                up, up_began, up_hits, up_own, up_off = score[j + 1], began[j + 1], hits[j + 1], own_hits[j + 1], off[j + 1]
-                if row_of[j] == d:
-                    new = (last + 1, last_began if last > 0 else j, (last_hits if last > 0 else 0) + 1, (last_own if last > 0 else 0) + own[j], last_off if last > 0 else 0)
-                else:
-                    new = (last - 3, last_began, last_hits, last_own, last_off + 1)
-                    if left - 3 > new[0]:
-                        new = (left - 3, left_began, left_hits, left_own, left_off + 1)
-                    if up - 3 > new[0]:
-                        new = (up - 3, up_began, up_hits, up_own, up_off + 1)
-                if new[0] <= 0:
-                    new = (0.0, j + 1, 0, 0, 0)
-                last, last_began, last_hits, last_own, last_off = up, up_began, up_hits, up_own, up_off
-                left, left_began, left_hits, left_own, left_off = new
-                score[j + 1], began[j + 1], hits[j + 1], own_hits[j + 1], off[j + 1] = new
-                if row_of[j] == d and new[2] >= 3:
-                    top.append((far_before[j + 1] - far_before[new[1]], new[1], j + 1, new[2], new[3], new[4]))
-        if not top:
-            return None
-        length, a, b, matched, own_matched, differing = max(top, key=lambda t: (t[0], t[3]))
-        rare_there = rare_before[b] - rare_before[a]
-        return length, differing / max(matched + differing, 1), own_matched / rare_there if rare_there else 1.0
+        return np.array([forms[w] for w in item], dtype=np.int32), np.array([known[w] for w in tokens], dtype=np.int32), np.array([w in forms for w in tokens], dtype=bool)
 
 
 def deletions(word: str) -> set[str]:

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from stowage.llm import leaks
 
@@ -39,6 +40,40 @@ def test_recall_and_precision_on_planted_passages():
     assert found >= 0.95 * whole
 
 
+def changed(words, places):
+    """The words with some changed (even places) or left out (odd ones)."""
+    return [w if i not in places else "qqxy" if i % 2 == 0 else "" for i, w in enumerate(words)]
+
+
+def test_one_word_in_five_anywhere():
+    rng = random.Random(3)
+    items = [(i, item(rng)) for i in range(12)]
+    search = leaks.Passages(items)
+    words = items[7][1].split()
+
+    def found(start, size, places):
+        return search.leaks(filler(rng, 40) + " " + " ".join(changed(words[start : start + size], places)) + " " + filler(rng, 40))
+
+    cases = [(14, (i,)) for i in range(14)] + [(14, pair) for pair in combinations(range(14), 2)]
+    cases += [(15, (2, 7, 8)), (15, (3, 8, 9)), (15, (4, 6, 8)), (16, (2, 3)), (16, (3, 4)), (20, (4, 5, 9, 10)), (20, (3, 7, 11, 15)), (20, (5, 7, 10, 12))]
+    for size, places in cases:
+        for start in (0, 10, 11, 12, 13, 14):
+            assert found(start, size, places) == [7], (size, places, start)
+    for size, places in [(11, ()), (14, (3, 7, 10)), (14, (2, 6, 8)), (15, (3, 6, 9, 11))]:
+        assert found(10, size, places) == [], (size, places)
+
+
+def test_one_character_in_five_anywhere():
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(900)]
+    items = [(i, "".join(rng.sample(letters, 90))) for i in range(5)]
+    search = leaks.Passages(items)
+    for places in [(i, j) for i in range(0, 40, 3) for j in range(i + 1, 40, 5)] + [(1, 2, 3, 4, 35, 36, 37, 38)]:
+        assert search.holds(3, leaks.words("".join("丂" if i in places else c for i, c in enumerate(items[3][1][20:60])))), places
+    assert not search.holds(3, leaks.words(items[3][1][20:51]))
+    assert not search.holds(3, leaks.words("".join("丂" if i in range(1, 37, 4) else c for i, c in enumerate(items[3][1][20:60]))))
+
+
 def test_what_is_no_leak():
     rng = random.Random(5)
     items = [(i, item(rng)) for i in range(20)]
