@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,51 @@ from stowage.session import table
 from stowage.sources import text as X
 from stowage.streaming import observer
 
-KEYS = ["game_id", "relpath"]
+KEYS = ["snap_no", "game_id", "relpath"]
 VALUES = ["loaded_at", "size", "ino", "mtime_ns", "ctime_ns", "level_applied"]
-NOW, BEFORE = 18, 16
 
 
-def _held(spark: SparkSession, d: str, snap: int) -> DataFrame:
-    files = table(spark, d, "files").where(F.col("snap_no") == snap).select(*KEYS, *VALUES)
-    return I.latest_rows(files, KEYS, ["loaded_at"], VALUES)
+class Snapshots:
+    """The snapshots of files: all of them, each compared with the one delivered before it, or only the newest.
+
+    Which numbers there are is read from the table, since numbers skip. The first snapshot has none before it and is compared
+    with nothing. Null numbers are no snapshot.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, newest: bool):
+        files = table(spark, d, "files").select(*KEYS, *VALUES)
+        numbers = sorted(r[0] for r in files.select("snap_no").where("snap_no is not null").distinct().collect())
+        pairs = list(zip(numbers, numbers[1:]))
+        if newest:
+            numbers, pairs = numbers[-1:], pairs[-1:]
+        earlier, self.compared = [a for a, _ in pairs], [b for _, b in pairs]
+        #: Rows as delivered.
+        self.rows = files.where(F.col("snap_no").isin(numbers))
+        #: The row that holds for each file.
+        self.now = self._held(self.rows)
+        #: The same of the snapshots that have one before them, and of those before, under the number of the later one.
+        self.later = self._held(files.where(F.col("snap_no").isin(self.compared)))
+        number = F.try_element_at(F.create_map(*[F.lit(n) for pair in pairs for n in pair]), F.col("snap_no")) if pairs else F.col("snap_no")
+        self.before = self._held(files.where(F.col("snap_no").isin(earlier)).withColumn("snap_no", number))
+
+    @staticmethod
+    def _held(files: DataFrame) -> DataFrame:
+        return I.latest_rows(files, KEYS, ["loaded_at"], VALUES)
+
+
+def by_snapshot(query):
+    """A query of the newest snapshot, from one of `Snapshots` that tells them by snap_no; `each` runs it over all of them."""
+
+    @wraps(query)
+    def newest(spark, d):
+        return query(Snapshots(spark, d, newest=True)).drop("snap_no")
+
+    @wraps(query)
+    def each(spark, d):
+        return query(Snapshots(spark, d, newest=False))
+
+    newest.each = each
+    return newest
 
 
 def _games(spark: SparkSession, d: str) -> DataFrame:
@@ -39,97 +78,116 @@ def _folders(spark: SparkSession, d: str) -> DataFrame:
 
 # inventory
 
-def inventory_floor(spark, d):
-    rows = _held(spark, d, NOW).withColumn("action", I.action(F.col("size"))).withColumn("store_action", I.action(F.col("size"), I.STORE_FLOOR))
-    return rows.groupBy("action", "store_action").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
+@by_snapshot
+def inventory_floor(s):
+    rows = s.now.withColumn("action", I.action(F.col("size"))).withColumn("store_action", I.action(F.col("size"), I.STORE_FLOOR))
+    return rows.groupBy("snap_no", "action", "store_action").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
 
 
-def changed_since(spark, d):
-    return I.changed_since(_held(spark, d, NOW), _held(spark, d, BEFORE), KEYS).select("game_id", F.hex("relpath").alias("path_hex"), "size", "why")
+@by_snapshot
+def changed_since(s):
+    return I.changed_since(s.later, s.before, KEYS).select("snap_no", "game_id", F.hex("relpath").alias("path_hex"), "size", "why")
 
 
-def changed_since_floor(spark, d):
-    changed = I.changed_since(_held(spark, d, NOW), _held(spark, d, BEFORE), KEYS, level_floor=15, floor=I.STORE_FLOOR)
-    return changed.groupBy("game_id", "why").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
+@by_snapshot
+def changed_since_floor(s):
+    changed = I.changed_since(s.later, s.before, KEYS, level_floor=15, floor=I.STORE_FLOOR)
+    return changed.groupBy("snap_no", "game_id", "why").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
 
 
-def recorded_levels(spark, d):
-    return I.recorded_levels(_held(spark, d, NOW), _held(spark, d, BEFORE), KEYS).select("game_id", F.hex("relpath").alias("path_hex"), "recorded_level")
+@by_snapshot
+def recorded_levels(s):
+    return I.recorded_levels(s.later, s.before, KEYS).select("snap_no", "game_id", F.hex("relpath").alias("path_hex"), "recorded_level")
 
 
-def receipt_skip(spark, d):
-    return I.without_receipt(_held(spark, d, NOW), _held(spark, d, BEFORE), KEYS, 9).groupBy("game_id").agg(F.count(F.lit(1)).alias("files"))
+@by_snapshot
+def receipt_skip(s):
+    return I.without_receipt(s.later, s.before, KEYS, 9).groupBy("snap_no", "game_id").agg(F.count(F.lit(1)).alias("files"))
 
 
-def outcome_merge(spark, d):
-    now = _held(spark, d, NOW)
+@by_snapshot
+def outcome_merge(s):
+    now = s.later
     confirmed = now.where("level_applied > 0")
-    return I.merged_outcome(now, _held(spark, d, BEFORE), confirmed, KEYS).groupBy("game_id", "level").agg(F.count(F.lit(1)).alias("files"))
+    return I.merged_outcome(now, s.before, confirmed, KEYS).groupBy("snap_no", "game_id", "level").agg(F.count(F.lit(1)).alias("files"))
 
 
-def rejected_skip(spark, d):
+@by_snapshot
+def rejected_skip(s):
     """Files without those rejected before at the same length and time."""
-    rejected = _held(spark, d, BEFORE).where(F.col("level_applied") == 0)
-    on = [("game_id", "game_id"), ("relpath", "relpath"), ("size", "size"), ("mtime_ns", "mtime_ns")]
-    return S.without(_held(spark, d, NOW), rejected, on).groupBy("game_id").agg(F.count(F.lit(1)).alias("files"))
+    rejected = s.before.where(F.col("level_applied") == 0)
+    on = [("snap_no", "snap_no"), ("game_id", "game_id"), ("relpath", "relpath"), ("size", "size"), ("mtime_ns", "mtime_ns")]
+    return S.without(s.later, rejected, on).groupBy("snap_no", "game_id").agg(F.count(F.lit(1)).alias("files"))
 
 
-def footprint(spark, d):
-    return I.footprint(_held(spark, d, NOW), ["game_id"])
+@by_snapshot
+def footprint(s):
+    return I.footprint(s.now, ["snap_no", "game_id"])
 
 
-def allocation(spark, d):
-    return I.allocation(table(spark, d, "files").where(F.col("snap_no") == NOW).select("game_id", "ino", "size"), ["game_id"], ["ino"])
+@by_snapshot
+def allocation(s):
+    return I.allocation(s.rows.select("snap_no", "game_id", "ino", "size"), ["snap_no", "game_id"], ["ino"])
 
 
-def tree_diff(spark, d):
-    found = I.tree_diff(_held(spark, d, BEFORE), _held(spark, d, NOW), KEYS, ["size", "mtime_ns"])
-    return found.select("game_id", F.hex("relpath").alias("path_hex"), "what")
+@by_snapshot
+def tree_diff(s):
+    found = I.tree_diff(s.before, s.later, KEYS, ["size", "mtime_ns"])
+    return found.select("snap_no", "game_id", F.hex("relpath").alias("path_hex"), "what")
 
 
-def hard_links(spark, d):
+@by_snapshot
+def hard_links(s):
     """Files of one length in a game, which stand for names of one inode; the first in path order is their target."""
-    rows = _held(spark, d, NOW).where("size is not null").select("game_id", "size", F.hex("relpath").alias("path_hex"))
-    return I.hard_links(rows, ["game_id", "size"], "path_hex")
+    rows = s.now.where("size is not null").select("snap_no", "game_id", "size", F.hex("relpath").alias("path_hex"))
+    return I.hard_links(rows, ["snap_no", "game_id", "size"], "path_hex")
 
 
 # costs
 
-def disk_cost_models(spark, d):
-    rows = _held(spark, d, NOW).where("size is not null").withColumn("packed", F.call_function("div", F.col("size") * (F.col("ino") % 11), F.lit(10).cast("long")))
+@by_snapshot
+def disk_cost_models(s):
+    rows = s.now.where("size is not null").withColumn("packed", F.call_function("div", F.col("size") * (F.col("ino") % 11), F.lit(10).cast("long")))
     native, store = costs.disk_cost(F.col("packed"), F.col("size")), costs.disk_cost(F.col("packed"), F.col("size"), store=True)
-    return rows.groupBy("game_id").agg(F.sum(native).alias("native_bytes"), F.sum(store).alias("store_bytes"), F.sum(costs.whole_sectors(F.col("size"))).alias("raw_bytes"))
+    return rows.groupBy("snap_no", "game_id").agg(F.sum(native).alias("native_bytes"), F.sum(store).alias("store_bytes"), F.sum(costs.whole_sectors(F.col("size"))).alias("raw_bytes"))
 
 
-def sample_offsets(spark, d):
-    rows = _held(spark, d, NOW).where("size > 262144").select(*KEYS, "size")
+@by_snapshot
+def sample_offsets(s):
+    rows = s.now.where("size > 262144").select(*KEYS, "size")
     rows = rows.withColumn("blocks", costs.blocks_of(F.col("size"), costs.NATIVE_BLOCK)).withColumn("samples", costs.samples_of(F.col("size")))
     each = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("samples") - 1)))
     block = costs.sample_block(F.col("i"), F.col("samples"), F.col("blocks"))
     offset = costs.stratum_offset(F.col("i"), F.col("samples"), F.col("size"), F.lit(costs.NATIVE_BLOCK).cast("long"))
-    return each.select("game_id", F.hex("relpath").alias("path_hex"), "i", block.alias("block"), offset.alias("offset"))
+    return each.select("snap_no", "game_id", F.hex("relpath").alias("path_hex"), "i", block.alias("block"), offset.alias("offset"))
 
 
 def carried_saving(spark, d):
     return _games(spark, d).select("id", costs.carried_saving(F.col("est_saving"), F.col("install_bytes"), F.col("disk_after"), F.col("disk_before") - F.col("disk_after")).alias("saving"))
 
 
-def budget_plan(spark, d):
-    """Largest files first, sampled while what was charged before stays below the budget."""
-    rows = _held(spark, d, NOW).where("size > 4096").select(*KEYS, "size").withColumn("charge", F.least("size", F.lit(65536).cast("long"))).withColumn("path_hex", F.hex("relpath"))
+def _budget(s):
+    rows = s.now.where("size > 4096").select(*KEYS, "size").withColumn("charge", F.least("size", F.lit(65536).cast("long"))).withColumn("path_hex", F.hex("relpath"))
     bucket = -F.floor(F.log2(F.col("size").cast("double")) * 16)
-    total = S.running_totals(rows, ["game_id"], [F.col("size").desc(), F.col("path_hex").asc()], bucket, F.col("charge"), "before")
-    return total.select("game_id", "path_hex", "before", (F.col("before") < 1_000_000).alias("sampled"))
+    total = S.running_totals(rows, ["snap_no", "game_id"], [F.col("size").desc(), F.col("path_hex").asc()], bucket, F.col("charge"), "before")
+    return total.select("snap_no", "game_id", "path_hex", "before", (F.col("before") < 1_000_000).alias("sampled"))
+
+
+@by_snapshot
+def budget_plan(s):
+    """Largest files first, sampled while what was charged before stays below the budget."""
+    return _budget(s)
 
 
-def estimate_formula(spark, d):
+@by_snapshot
+def estimate_formula(s):
     """Sampled costs scaled up to the files that the budget left out."""
-    rows = budget_plan(spark, d).join(_held(spark, d, NOW).select(F.col("game_id").alias("g"), F.hex("relpath").alias("h"), "size", "ino"), (F.col("g") == F.col("game_id")) & (F.col("h") == F.col("path_hex")))
+    rows = _budget(s).join(s.now.select(F.col("snap_no").alias("n"), F.col("game_id").alias("g"), F.hex("relpath").alias("h"), "size", "ino"), (F.col("n") == F.col("snap_no")) & (F.col("g") == F.col("game_id")) & (F.col("h") == F.col("path_hex")))
     packed = F.call_function("div", F.col("size") * (F.col("ino") % 11), F.lit(10).cast("long"))
     cost = costs.disk_cost(packed, F.col("size"))
-    sums = rows.groupBy("game_id").agg(F.sum(F.when(F.col("sampled"), costs.whole_sectors(F.col("size")) - cost).otherwise(0)).alias("saving"), F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0)).alias("sampled_bytes"), F.sum(F.when(~F.col("sampled"), F.col("size")).otherwise(0)).alias("left_bytes"))
+    sums = rows.groupBy("snap_no", "game_id").agg(F.sum(F.when(F.col("sampled"), costs.whole_sectors(F.col("size")) - cost).otherwise(0)).alias("saving"), F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0)).alias("sampled_bytes"), F.sum(F.when(~F.col("sampled"), F.col("size")).otherwise(0)).alias("left_bytes"))
     scaled = F.coalesce(F.floor(F.col("saving").cast("decimal(18,0)") * F.col("left_bytes").cast("decimal(18,0)") / F.nullif(F.col("sampled_bytes").cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))).cast("long"), F.lit(0).cast("long"))
-    return sums.select("game_id", "saving", "sampled_bytes", "left_bytes", scaled.alias("scaled_saving"))
+    return sums.select("snap_no", "game_id", "saving", "sampled_bytes", "left_bytes", scaled.alias("scaled_saving"))
 
 
 # state
@@ -145,11 +203,12 @@ def forget_games(spark, d):
     return S.without(games, table(spark, d, "games").where("forgotten_at is not null").select("id"), [("id", "id")])
 
 
-def replace_fingerprints(spark, d):
+@by_snapshot
+def replace_fingerprints(s):
     """The earlier snapshot with the files of all games of one launcher replaced by the later one's."""
     columns = [*KEYS, "size", "level_applied"]
-    base = S.replace_groups(_held(spark, d, BEFORE).select(*columns), _held(spark, d, NOW).where("game_id like 'steam:%'").select(*columns), ["game_id"])
-    return base.groupBy("game_id").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
+    base = S.replace_groups(s.before.select(*columns), s.later.where("game_id like 'steam:%'").select(*columns), ["snap_no", "game_id"])
+    return base.groupBy("snap_no", "game_id").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
 
 
 def invalidate_by_path(spark, d):
@@ -189,16 +248,21 @@ def next_job_id(spark, d):
     return S.next_id(table(spark, d, "jobs"), "id")
 
 
-def really_changed(spark, d):
-    columns = ["game_id", "relpath", "size", "level_applied", "ctime_ns"]
-    found = S.really_changed(_held(spark, d, BEFORE).select(*columns), _held(spark, d, NOW).select(*columns), KEYS, ["ctime_ns"])
-    return found.groupBy("game_id").agg(F.count(F.lit(1)).alias("files"))
+@by_snapshot
+def really_changed(s):
+    columns = ["snap_no", "game_id", "relpath", "size", "level_applied", "ctime_ns"]
+    found = S.really_changed(s.before.select(*columns), s.later.select(*columns), KEYS, ["ctime_ns"])
+    return found.groupBy("snap_no", "game_id").agg(F.count(F.lit(1)).alias("files"))
 
 
-def publish_missing(spark, d):
-    new = _held(spark, d, NOW).select("ino", "size")
-    found = S.publish_missing(_held(spark, d, BEFORE).select("ino", "size"), new, ["ino", "size"])
-    return found.agg(F.count(F.lit(1)).alias("objects"), costs.saturating_sum(F.col("size")).alias("bytes"))
+@by_snapshot
+def publish_missing(s):
+    new = s.later.select("snap_no", "ino", "size")
+    found = S.publish_missing(s.before.select("snap_no", "ino", "size"), new, ["snap_no", "ino", "size"])
+    found = found.groupBy("snap_no").agg(F.count(F.lit(1)).alias("objects"), costs.saturating_sum(F.col("size")).alias("bytes"))
+    zero = F.lit(0).cast("long")
+    numbers = new.sparkSession.createDataFrame([(n,) for n in s.compared], "snap_no int")
+    return numbers.join(found, "snap_no", "left").select("snap_no", F.coalesce("objects", zero).alias("objects"), F.coalesce("bytes", zero).alias("bytes"))
 
 
 # discovery
@@ -289,21 +353,24 @@ def swallowing_folders(spark, d):
     return P.containing(all_, "k", "folder")
 
 
-def file_types(spark, d):
+@by_snapshot
+def file_types(s):
     """Files and bytes by ending and depth."""
-    rows = _held(spark, d, NOW).withColumn("path", F.decode("relpath", "ISO-8859-1"))
-    return rows.groupBy(P.extension(F.col("path")).alias("extension"), P.depth(F.col("path")).cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"), F.count_if(P.safe_relative(F.col("path"))).alias("safe"))
+    rows = s.now.withColumn("path", F.decode("relpath", "ISO-8859-1"))
+    return rows.groupBy("snap_no", P.extension(F.col("path")).alias("extension"), P.depth(F.col("path")).cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"), F.count_if(P.safe_relative(F.col("path"))).alias("safe"))
 
 
-def overlay_view(spark, d):
+@by_snapshot
+def overlay_view(s):
     """The earlier snapshot under the later one's compressed files, without top folders that the later one has no more."""
-    path = F.concat_ws("/", "game_id", F.decode("relpath", "ISO-8859-1")).alias("path")
-    base = _held(spark, d, BEFORE).select(path, "size")
-    now = _held(spark, d, NOW).select(path, "size", "level_applied")
-    top = F.substring_index("path", "/", 2).alias("path")
+    path = F.concat_ws("/", F.col("snap_no").cast("string"), "game_id", F.decode("relpath", "ISO-8859-1")).alias("path")
+    base = s.before.select(path, "size")
+    now = s.later.select(path, "size", "level_applied")
+    top = F.substring_index("path", "/", 3).alias("path")
     white = base.select(top).distinct().join(now.select(top).distinct(), "path", "left_anti")
     seen = P.overlay(base, now.where("level_applied > 0"), white, "path", ["size"])
-    return seen.groupBy(F.substring_index("path", "/", 1).alias("game_id"), "layer").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
+    number, game = F.substring_index("path", "/", 1).cast("int"), F.substring_index(F.substring_index("path", "/", 2), "/", -1)
+    return seen.groupBy(number.alias("snap_no"), game.alias("game_id"), "layer").agg(F.count(F.lit(1)).alias("files"), costs.saturating_sum(F.col("size")).alias("bytes"))
 
 
 # content
@@ -311,13 +378,14 @@ def overlay_view(spark, d):
 MADE_HEADS = {"dds": "44445320", "pak": "504B0304", "wem": "52494646", "bk2": "424B3200", "bin": "1F8B0800", "dll": "4D5A9000", "so": "7F454C46", "json": "7B0A2020", "txt": "EFBBBF23", "png": "89504E470D0A1A0A"}
 
 
-def header_families(spark, d):
+@by_snapshot
+def header_families(s):
     """Families and counters of files by their first bytes, which here are made up by ending."""
     ending = P.extension(F.decode("relpath", "ISO-8859-1"))
     made = F.create_map(*[F.lit(x) for pair in MADE_HEADS.items() for x in pair])
-    rows = _held(spark, d, NOW).withColumn("head", F.unhex(F.coalesce(F.try_element_at(made, ending), F.lit("00000018667479706D703432"))))
+    rows = s.now.withColumn("head", F.unhex(F.coalesce(F.try_element_at(made, ending), F.lit("00000018667479706D703432"))))
     rows = rows.withColumn("family", headers.family(F.col("head")))
-    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("files"), F.count_if(headers.cheap(F.col("family"))).alias("cheap"), F.sum(headers.little(F.col("head"), 0, 4)).alias("marks"))
+    return rows.groupBy("snap_no", "family").agg(F.count(F.lit(1)).alias("files"), F.count_if(headers.cheap(F.col("family"))).alias("cheap"), F.sum(headers.little(F.col("head"), 0, 4)).alias("marks"))
 
 
 def dedupe_exact(spark, d):
@@ -392,18 +460,20 @@ def corpus_digest(spark, d):
     return C.corpus_digest(rows, ["source"], "path", F.col("text"))
 
 
-def small_file_frames(spark, d):
+@by_snapshot
+def small_file_frames(s):
     """Small files of one copy, put into frames of 4 MiB by game and ending in path order."""
-    rows = _held(spark, d, NOW).where("size between 1 and 524287").withColumn("extension", P.extension(F.decode("relpath", "ISO-8859-1"))).select("game_id", "extension", "relpath", "size")
-    framed = C.folded(rows, ["game_id", "extension"], ["relpath"], "size", C.next_fit(4 * 1024 * 1024), "frame")
-    return framed.groupBy("game_id", "extension", "frame").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    rows = s.now.where("size between 1 and 524287").withColumn("extension", P.extension(F.decode("relpath", "ISO-8859-1"))).select("snap_no", "game_id", "extension", "relpath", "size")
+    framed = C.folded(rows, ["snap_no", "game_id", "extension"], ["relpath"], "size", C.next_fit(4 * 1024 * 1024), "frame")
+    return framed.groupBy("snap_no", "game_id", "extension", "frame").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
-def preview_budget(spark, d):
+@by_snapshot
+def preview_budget(s):
     """What each file may be sampled by, largest first, from 32 MiB a game that are spent by what is read."""
-    rows = _held(spark, d, NOW).where("size > 4096").select("game_id", "relpath", "size", (-F.col("size")).alias("turn"))
-    taken = C.folded(rows, ["game_id"], ["turn", "relpath"], "size", C.spending(32 * 1024 * 1024, 2 * 1024 * 1024, 128 * 1024), "sampled")
-    return taken.groupBy("game_id").agg(F.count_if(F.col("sampled") > 0).alias("files"), F.sum("sampled").alias("bytes"))
+    rows = s.now.where("size > 4096").select("snap_no", "game_id", "relpath", "size", (-F.col("size")).alias("turn"))
+    taken = C.folded(rows, ["snap_no", "game_id"], ["turn", "relpath"], "size", C.spending(32 * 1024 * 1024, 2 * 1024 * 1024, 128 * 1024), "sampled")
+    return taken.groupBy("snap_no", "game_id").agg(F.count_if(F.col("sampled") > 0).alias("files"), F.sum("sampled").alias("bytes"))
 
 
 # totals
@@ -444,7 +514,10 @@ FUNCTIONS = [
     header_families, dedupe_exact, single_documents, store_summary, chunk_offsets, range_reads, index_gaps, pool_prune, content_chunks, chunk_copies, encoded_documents, codec_benchmark, corpus_digest, small_file_frames, preview_budget,
     observe_stream, activity_totals, job_progress, compressed_share,
 ]
-QUERIES = {f.__name__: f for f in FUNCTIONS}
+QUERIES = {f.__name__: f for f in FUNCTIONS} | {f"{f.__name__}_by_snapshot": f.each for f in FUNCTIONS if hasattr(f, "each")}
+
+# The two newest snapshots of the test tables, which the SQL names; the queries read them from the table.
+NOW, BEFORE = 18, 16
 
 
 def _h(snap: int) -> str:
