@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stowage.functions.costs import NATIVE_BLOCK, SECTOR, STORE_BLOCK
 from stowage.functions.names import quoted
 from stowage.operators.state import running_totals
 
@@ -144,6 +145,76 @@ def encoding(content: bytes | None, tools: list) -> dict:
     return {"codec": "zstd", "stored": stored, "level": level} if stored < len(content) else {"codec": "raw", "stored": len(content), "level": 0}
 
 
+def encoded_contents(df: DataFrame, content: str, levels: tuple[int, ...] = LEVELS, name: str = "encoded") -> DataFrame:
+    """`df` with a struct (codec, payload): the bytes that a store keeps for the content, by the rule of `encoded_sizes`."""
+    kind = pa.struct([("codec", pa.string()), ("payload", pa.binary())])
+
+    def encode(contents: pa.Array) -> pa.Array:
+        import zstandard
+
+        tools = {level: zstandard.ZstdCompressor(level=level) for level in levels}
+        out = []
+        for c in contents.to_pylist():
+            got = encoding(c, list(tools.items()))
+            out.append({"codec": got["codec"], "payload": tools[got["level"]].compress(c) if got["codec"] == "zstd" else b"" if got["codec"] == "zero" else c or b""})
+        return pa.array(out, kind)
+
+    return df.withColumn(name, F.arrow_udf(encode, "struct<codec:string,payload:binary>")(F.col(quoted(content)).cast("binary")))
+
+
+def intact(codec: Column, payload: Column, size: Column, digest: Column) -> Column:
+    """Whether a stored chunk decodes to bytes of the recorded length and SHA-256. Damaged, cut or unknown ones do not."""
+
+    def decode(codecs: pa.Array, payloads: pa.Array, sizes: pa.Array) -> pa.Array:
+        import zstandard
+
+        tool, out = zstandard.ZstdDecompressor(), []
+        for c, data, n in zip(codecs.to_pylist(), payloads.to_pylist(), sizes.to_pylist()):
+            if c == "zstd":
+                try:
+                    data = tool.decompress(data)
+                except zstandard.ZstdError:
+                    data = None
+            elif c == "zero":
+                data = b"\0" * n
+            elif c != "raw":
+                data = None
+            out.append(data)
+        return pa.array(out, pa.binary())
+
+    decoded = F.arrow_udf(decode, "binary")(codec, payload, size)
+    return F.coalesce((F.octet_length(decoded) == size) & (F.sha2(decoded, 256) == digest), F.lit(False))
+
+
+#: (level, native) of each profile of the benchmark.
+PROFILES = ((3, True), (9, True), (15, True), (9, False), (15, False), (19, False))
+
+
+def profile_costs(content: Column) -> Column:
+    """Bytes that content costs under each of PROFILES: native in sectors of each block, else in frames no larger than raw.
+
+    What doesn't decode to the same bytes again fails.
+    """
+
+    def cost(contents: pa.Array) -> pa.Array:
+        import zstandard
+
+        tools, back = [(zstandard.ZstdCompressor(level=level), native) for level, native in PROFILES], zstandard.ZstdDecompressor()
+        return pa.array([[sum(unit_cost(c[i : i + step], tool, back, native) for i in range(0, len(c), step)) for tool, native in tools for step in [NATIVE_BLOCK if native else STORE_BLOCK]] for c in contents.to_pylist()], pa.list_(pa.int64()))
+
+    return F.arrow_udf(cost, "array<bigint>")(F.coalesce(content.cast("binary"), F.lit(b"")))
+
+
+def unit_cost(unit: bytes, tool, back, native: bool) -> int:
+    packed = tool.compress(unit)
+    if back.decompress(packed) != unit:
+        raise ValueError("what was compressed doesn't decode to the same bytes")
+    if not native:
+        return min(len(packed), len(unit))
+    kept = len(unit) if len(packed) + SECTOR > len(unit) else len(packed)
+    return -(-kept // SECTOR) * SECTOR
+
+
 @dataclass
 class Fold:
     """A sequential rule over ordered rows of a group: `start` makes its state, `step(state, value)` gives (state, result)."""
@@ -208,6 +279,29 @@ def worthwhile_groups(files: DataFrame, group: list[str], size: str, separate: C
     return sums.where((F.col("files") >= 2) & (F.col("grouped_bytes") + GROUP_GAIN <= F.col("separate_bytes")))
 
 
+def small_file_groups(files: DataFrame, store: str, path: str, content: str, extension: Column, levels: tuple[int, ...] = MOST_LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Frames of a store's small files that are worth it, and their members (store, extension, frame, path).
+
+    Only files of 1 byte up to the least chunk whose content no other file of the store has; in path order by ending, next-fit
+    into frames of the largest chunk. A frame of fewer than two files, or that saves less than GROUP_GAIN, is dropped.
+    """
+    sized = files.select(F.col(quoted(store)).alias("store"), F.col(quoted(path)).alias("path"), extension.alias("extension"), F.col(quoted(content)).cast("binary").alias("content"))
+    sized = sized.withColumn("size", F.octet_length("content").cast("long")).where((F.col("size") >= 1) & (F.col("size") < LEAST_CHUNK))
+    lone = single_copies(sized.withColumn("hash", F.sha2("content", 256)), ["store", "hash", "size"], ["extension", "path"])
+    framed = folded(lone.select("store", "extension", "path", "size"), ["store", "extension"], ["path"], "size", next_fit(MOST_CHUNK), "frame")
+    whole = framed.drop("extension", "size").join(sized, ["store", "path"])
+
+    def encode(parts: pa.Array) -> pa.Array:
+        import zstandard
+
+        tools = [(level, zstandard.ZstdCompressor(level=level)) for level in levels]
+        return pa.array([encoding(b"".join(p["content"] for p in frame), tools)["stored"] for frame in parts.to_pylist()], pa.int64())
+
+    grouped = F.arrow_udf(encode, "bigint")(F.array_sort(F.collect_list(F.struct("path", "content"))))
+    frames = worthwhile_groups(encoded_sizes(whole, "content", levels), ["store", "extension", "frame"], "size", F.col("encoded.stored"), grouped)
+    return frames, framed.join(frames.select("store", "extension", "frame"), ["store", "extension", "frame"], "left_semi")
+
+
 def corpus_digest(files: DataFrame, group: list[str], path: str, content: Column) -> DataFrame:
     """One digest per group over its files in path order, however large the group.
 

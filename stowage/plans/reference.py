@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import costs, headers
@@ -181,7 +181,7 @@ def budget_plan(s):
 
 @by_snapshot
 def estimate_formula(s):
-    """Sampled costs scaled up to the files that the budget left out."""
+    """Sampled costs scaled up to the files that the budget left out; compressed sizes are made up, and no file counts as tried before."""
     rows = _budget(s).join(s.now.select(F.col("snap_no").alias("n"), F.col("game_id").alias("g"), F.hex("relpath").alias("h"), "size", "ino"), (F.col("n") == F.col("snap_no")) & (F.col("g") == F.col("game_id")) & (F.col("h") == F.col("path_hex")))
     packed = F.call_function("div", F.col("size") * (F.col("ino") % 11), F.lit(10).cast("long"))
     cost = costs.disk_cost(packed, F.col("size"))
@@ -448,11 +448,54 @@ def encoded_documents(spark, d):
     return C.encoded_sizes(rows, "content", (3, 9)).select("doc_id", "encoded.codec", "encoded.stored", "encoded.level")
 
 
+def encoded_documents_maximum(spark, d):
+    """The same at all levels that a store of the largest saving tries."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return C.encoded_sizes(rows, "content", C.MOST_LEVELS).select("doc_id", "encoded.codec", "encoded.stored", "encoded.level")
+
+
 def codec_benchmark(spark, d):
-    """Bytes of all documents at each level."""
+    """Bytes of all documents under each profile: native blocks at three levels, frames at three."""
     rows = table(spark, d, "documents").where("text is not null").select(F.encode("text", "UTF-8").alias("content"))
-    parts = [C.encoded_sizes(rows, "content", (level,)).agg(F.lit(level).alias("level"), F.sum(F.octet_length("content").cast("long")).alias("bytes"), F.sum("encoded.stored").alias("stored")) for level in (3, 9, 15)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    each = rows.select(F.octet_length("content").cast("long").alias("bytes"), F.posexplode(C.profile_costs(F.col("content"))).alias("at", "stored"))
+    sums = each.groupBy("at").agg(F.sum("bytes").alias("bytes"), F.sum("stored").alias("stored"))
+    of = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in C.PROFILES]), F.col("at") + 1)
+    return sums.select(of(0).alias("level"), of(1).alias("native"), "bytes", "stored")
+
+
+def chunk_verification(spark, d):
+    """Chunks of all documents as a store keeps them, decoded again; bad ones differ in length or hash."""
+    texts = table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    pieces = content_chunks(spark, d).join(texts, "doc_id").withColumn("content", F.substring("content", (F.col("start_at") + 1).cast("int"), F.col("size").cast("int")))
+    kept = C.encoded_contents(pieces, "content").select("size", "hash", "encoded.codec", "encoded.payload")
+    checked = kept.select("codec", "size", F.octet_length("payload").cast("long").alias("stored"), C.intact(F.col("codec"), F.col("payload"), F.col("size"), F.col("hash")).alias("good"))
+    return checked.groupBy("codec").agg(F.count(F.lit(1)).alias("chunks"), F.sum("size").alias("bytes"), F.sum("stored").alias("stored"), F.count_if(~F.col("good")).alias("bad"))
+
+
+def _stores(spark, d) -> DataFrame:
+    """Documents as files: a store for the first part of each source, folders for the rest of it and for the kind, which is the ending too."""
+    kind, source = F.coalesce("kind", F.lit("")), F.coalesce("source", F.lit(""))
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", F.substring_index(source, "/", 1).alias("store"), F.concat(source, F.lit("/"), kind, F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 19, "0"), F.lit("."), kind).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def document_frames(spark, d):
+    """Small documents of one copy in frames of 4 MiB, where these save enough against separate ones."""
+    return C.small_file_groups(_stores(spark, d), "store", "path", "content", P.extension(F.col("path")))[0]
+
+
+def store_index(spark, d):
+    """The chunks of each store in the order of its index: frames first, then those of the other files in walk order, each once."""
+    files = _stores(spark, d)
+    frames, members = C.small_file_groups(files, "store", "path", "content", P.extension(F.col("path")))
+    rest = files.join(members.select("store", "path"), ["store", "path"], "left_anti")
+    placed = C.content_chunks(rest, "doc_id", "content").join(rest.select("doc_id", "store", F.split("path", "/").alias("parts")), "doc_id")
+    first = placed.groupBy("store", "hash", "size").agg(F.min(F.struct("parts", "ord")).alias("first"))
+    none = F.lit(None)
+    rows = frames.select("store", F.lit(0).alias("turn"), "extension", "frame", none.cast("array<string>").alias("parts"), none.cast("int").alias("ord"), F.col("bytes").alias("size"))
+    rows = rows.unionAll(first.select("store", F.lit(1), none.cast("string"), none.cast("long"), "first.parts", "first.ord", "size"))
+    number = F.row_number().over(Window.partitionBy("store").orderBy("turn", "extension", "frame", "parts", "ord")) - 1
+    return rows.select("store", number.alias("chunk_no"), "extension", "frame", F.array_join("parts", "/").alias("path"), "ord", "size")
 
 
 def corpus_digest(spark, d):
@@ -462,7 +505,7 @@ def corpus_digest(spark, d):
 
 @by_snapshot
 def small_file_frames(s):
-    """Small files of one copy, put into frames of 4 MiB by game and ending in path order."""
+    """Small files put into frames of 4 MiB by game and ending in path order. Files have no content here: copies and gain are document_frames' matter."""
     rows = s.now.where("size between 1 and 524287").withColumn("extension", P.extension(F.decode("relpath", "ISO-8859-1"))).select("snap_no", "game_id", "extension", "relpath", "size")
     framed = C.folded(rows, ["snap_no", "game_id", "extension"], ["relpath"], "size", C.next_fit(4 * 1024 * 1024), "frame")
     return framed.groupBy("snap_no", "game_id", "extension", "frame").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
@@ -511,7 +554,7 @@ FUNCTIONS = [
     upsert_games, forget_games, replace_fingerprints, invalidate_by_path, exclude_games, recent_activity, job_retention, latest_job, newest_jobs, next_job_id, really_changed, publish_missing,
     merge_sources, group_flags, selector_tiered, remembered_installs, volume_totals, observe_changes, id_parts, listed_installs, discovered_entries, app_manifests,
     prefix_location, longest_mount, swallowing_folders, file_types, overlay_view,
-    header_families, dedupe_exact, single_documents, store_summary, chunk_offsets, range_reads, index_gaps, pool_prune, content_chunks, chunk_copies, encoded_documents, codec_benchmark, corpus_digest, small_file_frames, preview_budget,
+    header_families, dedupe_exact, single_documents, store_summary, chunk_offsets, range_reads, index_gaps, pool_prune, content_chunks, chunk_copies, encoded_documents, encoded_documents_maximum, codec_benchmark, chunk_verification, document_frames, store_index, corpus_digest, small_file_frames, preview_budget,
     observe_stream, activity_totals, job_progress, compressed_share,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS} | {f"{f.__name__}_by_snapshot": f.each for f in FUNCTIONS if hasattr(f, "each")}
