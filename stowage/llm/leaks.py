@@ -6,7 +6,7 @@ cut into such passages, documents into overlapping blocks, so that a short passa
 search is a containment search by MinHash, partitioned by size: blocks are grouped by how many shingles they have, and each
 size has its own numbers of bands and rows, chosen so that a passage that is contained to the least share still shares a band with the
 odds asked for. Candidates are verified: first by the exact share of the passage's shingles that the block has, then
-by the edit distance of every stretch of the item to the block, in words. Of the words that only this item has some must be
+by the edit distance of every stretch of the item to the block, in words. Of the words that only this item has one must be
 found, misspelled or not (items made from the same phrases differ in those alone).
 
 The items are a query set against all documents. They are handled in groups of a size that is checked, each of which is sent to
@@ -31,8 +31,6 @@ from stowage.session import busy
 
 #: Least passage: words, or characters of scripts without spaces.
 WORDS, CHARACTERS = 14, 40
-#: Least share of the item's own words in a stretch that must be found there.
-OWN = 0.3
 #: Cost of an edit, above the own words of any stretch; tokens of a document aligned at once.
 UNIT, PIECE = 1 << 10, 1024
 #: Words per shingle. Five, with every fifth word changed, would leave no shingle whole; two leave two thirds.
@@ -289,7 +287,7 @@ class Passages:
 
     def holds(self, k: int, tokens: list[str]) -> bool:
         """Whether a passage of the item lies in the tokens: some stretch of it of the least length or more, of which at most
-        one word in five differs and at least OWN of the item's own words are found (misspelled ones count as both).
+        one word in five differs and one of the item's own words, if it has any there, is found (misspelled ones count as both).
 
         A passage of twice the least length has a part of one to two lengths of which no more differs, so no longer stretches
         are tried. For all first words of stretches at once, row by row of the edit distance: cost counts UNIT for each word
@@ -321,7 +319,7 @@ class Passages:
                 cost = new + put_in
                 differ = -(-cost // UNIT)
                 there = own_before[start + n] - own_before[start]
-                good = (differ * 5 <= n) & (differ * UNIT - cost >= OWN * there[:, None]) & (least[start] <= n)[:, None]
+                good = (differ * 5 <= n) & (differ * UNIT - cost >= np.minimum(there, 1)[:, None]) & (least[start] <= n)[:, None]
                 if good.any():
                     return True
                 alive = (differ.min(axis=1) * 5 <= most[start]) & (most[start] > n)

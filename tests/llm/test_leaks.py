@@ -74,6 +74,16 @@ def test_one_character_in_five_anywhere():
     assert not search.holds(3, leaks.words("".join("丂" if i in range(1, 37, 4) else c for i, c in enumerate(items[3][1][20:60]))))
 
 
+def test_one_own_word_is_enough():
+    common = "the pass over store kept every frame while nobody asked index wrote layer near folder before after because".split()
+    own = ["Vobara", "Kemigu", "Zoripa", "Dulofe"]
+    text = common[:4] + own[:1] + common[4:5] + own[1:2] + common[5:6] + own[2:3] + common[6:7] + own[3:] + common[7:12]
+    search = leaks.Passages([(1, " ".join(text)), (2, " ".join(common)), (3, " ".join(reversed(common)))])
+    assert len(text) == 16
+    assert search.holds(0, leaks.words(" ".join("qqx" if w in own[1:] else w for w in text)))
+    assert not search.holds(0, leaks.words(" ".join("qqx" if w in own else w for w in text)))
+
+
 def test_what_is_no_leak():
     rng = random.Random(5)
     items = [(i, item(rng)) for i in range(20)]
