@@ -668,7 +668,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
         # what is left of the corpus meets one group after the other
         rows = checkpointed(rows)
         found = checkpointed(found.where("size(spans) > 0").withColumn("row", F.monotonically_increasing_id()))
-    parts = [_of_group(found, context.broadcast(Group([(r["item"], r["tokens"], r["own"], np.array(r["keys"], dtype=np.int64)) for r in rows.where(F.col("group") == k).collect()])), item_type) for k in range(count)]
+    parts = [_of_group(found, context.broadcast(_group(rows.where(F.col("group") == k).toArrow())), item_type) for k in range(count)]
     if count == 1:
         return parts[0].select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
     all_ = parts[0]
@@ -678,6 +678,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     return all_.distinct().select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
 
 
+def _group(rows: pa.Table) -> Group:
+    keys = rows["keys"].combine_chunks()
+    edges, values = keys.offsets.to_numpy(), keys.values.to_numpy()
+    return Group([(item, tokens, own, values[a:b]) for item, tokens, own, a, b in zip(rows["item"].to_pylist(), rows["tokens"].to_pylist(), rows["own"].to_pylist(), edges, edges[1:])])
+
+
 def _of_group(found: DataFrame, sent, item_type) -> DataFrame:
     kind = pa.list_(to_arrow_type(item_type))
 
