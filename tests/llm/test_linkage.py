@@ -1,7 +1,7 @@
 import pytest
 
 from stowage.llm import linkage
-from stowage.llm.linkage import CODED, CONFLICT, EXACT, MISSING, NEAR, SHORT, compare, level, read_form
+from stowage.llm.linkage import CODED, CONFLICT, DIFFER, EXACT, HINT, MISSING, NEAR, NONE, SAME, SHORT, SIBLING, UNKNOWN, compare, level, read_form
 
 COMMON = frozenset("iron ladder narrow lantern glass kettle river crown".split())
 
@@ -37,19 +37,23 @@ def test_levels(name, want):
     assert level(read_form(name), title("Iron Ladder: Narrow Lantern"), COMMON) == want
 
 
-def test_other_numbers_and_kinds_are_other_games():
-    t = title("Mirano Ferry 2")
-    assert compare(t, None, read_form("Mirano Ferry II"), None, COMMON) is not None
-    for other in ("Mirano Ferry", "Mirano Ferry 3", "Mirano Ferry 2 Demo"):
-        assert compare(t, None, read_form(other), None, COMMON) is None
-    assert compare(title("Mirano Ferry Demo"), None, read_form("Mirano Ferry"), None, COMMON) is None
-    assert compare(t, None, read_form("Mirano…"), read_form("/g/Mirano Ferry 2", True), COMMON)[:2] == (SHORT, EXACT)
+def test_fields_of_a_pair():
+    t, number = title("Mirano Ferry 2"), lambda name: compare(t, None, read_form(name), None, COMMON)
+    assert number("Mirano Ferry II") == (EXACT, MISSING, SAME, NONE, NONE)
+    assert number("Mirano Ferry")[::2][:2] == (SIBLING, DIFFER) and number("Mirano Ferry 3")[0] == SIBLING
+    assert number("Mirano Ferry 2 Demo")[:4] == (SIBLING, MISSING, SAME, DIFFER)
+    assert compare(title("Mirano Ferry Demo"), None, read_form("Mirano Ferry"), None, COMMON)[:4] == (SIBLING, MISSING, NONE, DIFFER)
+    assert compare(t, None, read_form("Mirano…"), read_form("/g/Mirano Ferry 2", True), COMMON)[:3] == (SHORT, EXACT, SAME)
+    assert compare(t, None, read_form("Mirano…"), None, COMMON)[2] == UNKNOWN
+    assert compare(title("Kelubat Ferry"), None, read_form("Kozaru Ferry"), read_form("/g/kf-0001ab", True), COMMON)[1] == HINT
 
 
 def test_em_separates():
-    patterns = [((EXACT, EXACT, 1), 500), ((NEAR, EXACT, 1), 100), ((EXACT, MISSING, 1), 80), ((CONFLICT, CONFLICT, 1), 900), ((CONFLICT, SHORT, 0), 300), ((CONFLICT, MISSING, 1), 60)]
-    posterior, share, _ = linkage.em(patterns)
-    assert posterior[EXACT, EXACT, 1] > 0.99 and posterior[NEAR, EXACT, 1] > 0.9 and posterior[CONFLICT, CONFLICT, 1] < 0.01 and 0.2 < share < 0.5
+    rest = (NONE, NONE, NONE)
+    patterns = [((EXACT, EXACT, *rest), 500), ((NEAR, EXACT, *rest), 100), ((EXACT, MISSING, *rest), 80), ((CONFLICT, CONFLICT, *rest), 900), ((CONFLICT, SHORT, UNKNOWN, NONE, NONE), 300), ((CONFLICT, MISSING, *rest), 60), ((SIBLING, SIBLING, DIFFER, NONE, NONE), 400)]
+    posterior, share, tables = linkage.em(patterns, {(CONFLICT, CONFLICT, *rest): 500})
+    assert posterior[EXACT, EXACT, *rest] > 0.99 and posterior[NEAR, EXACT, *rest] > 0.9 and posterior[CONFLICT, CONFLICT, *rest] < 0.01 and posterior[SIBLING, SIBLING, DIFFER, NONE, NONE] < 0.01 and 0.2 < share < 0.5
+    assert all(abs(sum(a for a, _ in t.values()) - 1) < 1e-9 and abs(sum(b for _, b in t.values()) - 1) < 1e-9 for t in tables)
     assert linkage.em([]) == ({}, 0.0, [])
 
 
@@ -69,3 +73,45 @@ def test_links(spark):
     assert set(got) == want and all(0.5 <= v <= 1 for v in got.values())
     assert linkage.link_records(games.where("id = ''"), entries).collect() == []
     assert linkage.link_records(games, entries.where("id < 0")).collect() == []
+
+
+def test_own_vocabulary():
+    own = linkage.Vocabulary(editions=frozenset(["grand"]), tags=frozenset(), kinds=(("trial", "demo"),))
+    assert read_form("Mirano Ferry Grand Trial", vocabulary=own)["kind"] == "demo" and read_form("Mirano Ferry Grand", vocabulary=own)["edition"] == "grand"
+    assert read_form("Mirano Ferry Demo", vocabulary=own)["core"] == "mirano ferry demo"
+
+
+def test_a_long_title_has_few_keys():
+    form = read_form(" ".join(["iron ladder narrow lantern glass kettle river crown"] * 5))
+    assert len(linkage.title_keys(form, COMMON, linkage.repair_table(COMMON))) < 60
+
+
+def synthetic(rng, n, folders_wrong):
+    """Games with their entries, of which a share has the folder of another game; true pairs by construction."""
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    name = lambda: "".join(rng.choice(syllables) for _ in range(4)).capitalize()
+    games = [(f"steam:{i}", f"{name()} {rng.choice(['Ferry', 'Harbor', 'Castle', 'Delta', 'Orchard', 'Beacon'])}" + rng.choice(["", "", " 2", " 3"])) for i in range(n)]
+    entries = []
+    for i, (_, t) in enumerate(games):
+        typed = t if rng.random() < 0.7 else t[:3] + t[4:]
+        at = rng.randrange(n) if rng.random() < folders_wrong else i
+        entries.append((i, typed, f"/lutris/{games[at][1]}"))
+    return [(g, t, f"/games/{t}") for g, t in games], entries
+
+
+def test_the_accepted_pairs_follow_the_errors_of_the_data(spark):
+    """Pairs that agree in the folder alone are links where folders can be trusted, and none where half of them are wrong; confidence is near the share that is right."""
+    import random
+
+    accepted, right, sure = {}, {}, {}
+    for wrong in (0.0, 0.5):
+        games, entries = synthetic(random.Random(8), 400, wrong)
+        g = spark.createDataFrame(games, "id string, title string, path string")
+        # some entries have another name altogether, so that only the folder can tell
+        e = spark.createDataFrame([(i, n if i % 5 else f"Nothing {chr(97 + i % 26) * 4}{chr(97 + i // 26) * 4} Alike", d) for i, n, d in entries], "id long, name string, directory string")
+        links = linkage.link_records(g, e).collect()
+        accepted[wrong] = sum(r["right_id"] % 5 == 0 for r in links)
+        right[wrong] = sum(r["left_id"] == f"steam:{r['right_id']}" for r in links) / len(links)
+        sure[wrong] = sum(r["confidence"] for r in links) / len(links)
+    assert accepted[0.0] >= 70 and accepted[0.5] <= 10
+    assert right[0.0] > 0.98 and right[0.5] > 0.95 and all(abs(right[w] - sure[w]) < 0.05 for w in right)
