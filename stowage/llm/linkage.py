@@ -482,7 +482,7 @@ def compared_forms(left: DataFrame, right: DataFrame, left_columns: tuple[str, s
     titles = checkpointed(titles)
     entries = checkpointed(_forms(right, *right_columns, vocabulary))
     tasks = _tasks(left)
-    works, records = (df.select("form", "a", "b").repartition(tasks, "form").dropDuplicates(["form"]) for df in (titles, entries))
+    works, records = (checkpointed(df.select("form", "a", "b").repartition(tasks, "form").dropDuplicates(["form"])) for df in (titles, entries))
 
     cores = works.select(F.col("a.core").alias("core")).unionAll(records.select("a.core")).unionAll(records.select("b.core")).where("core != ''").distinct()
     words = cores.select(F.explode(F.array_distinct(F.split("core", " "))).alias("word")).where(~F.col("word").isin(*STOP) & (F.col("word") != ""))
@@ -513,7 +513,8 @@ def compared_forms(left: DataFrame, right: DataFrame, left_columns: tuple[str, s
         columns = zip(*rows) if rows else [[]] * len(FIELDS)
         return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in columns], list(FIELDS))
 
-    left_keys = works.select(F.col("form").alias("work"), F.explode(of_titles("a", "b")).alias("key"))
+    # read twice each: to plan the join, and by it
+    left_keys = checkpointed(works.select(F.col("form").alias("work"), F.explode(of_titles("a", "b")).alias("key")))
     right_keys = records.select(F.col("form").alias("record"), F.explode(of_entries("a", "b")).alias("key"))
     pairs = fragment_replicate_join(left_keys, right_keys, [("key", "key")], by=["work"]).select("work", "record", F.lit(True).alias("blocked"))
     buckets = F.lit(max(works.count(), 1))

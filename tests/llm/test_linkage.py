@@ -1,7 +1,7 @@
 import pytest
 
 from stowage.llm import linkage
-from stowage.llm.linkage import CODED, CONFLICT, DIFFER, EXACT, HINT, MISSING, NEAR, NONE, SAME, SHORT, SIBLING, UNKNOWN, compare, level, read_form
+from stowage.llm.linkage import CODED, CONFLICT, DIFFER, EXACT, HINT, MISSING, NEAR, NONE, OTHER, SAME, SHORT, SIBLING, UNKNOWN, compare, level, read_form
 
 COMMON = frozenset("iron ladder narrow lantern glass kettle river crown".split())
 
@@ -99,19 +99,22 @@ def synthetic(rng, n, folders_wrong):
     return [(g, t, f"/games/{t}") for g, t in games], entries
 
 
-def test_the_accepted_pairs_follow_the_errors_of_the_data(spark):
-    """Pairs that agree in the folder alone are links where folders can be trusted, and none where half of them are wrong; confidence is near the share that is right."""
+def test_what_is_accepted_follows_the_errors_of_the_data():
+    """A short name with another folder is a match where folders of matches are often others, and none where they hardly are."""
+    rest = (NONE, NONE, NONE)
+    short = (SHORT, OTHER, *rest)
+    posterior = {}
+    for wrong in (5, 400):
+        patterns = [((EXACT, EXACT, *rest), 1000), ((SHORT, EXACT, *rest), 200), ((EXACT, MISSING, *rest), 100), ((EXACT, OTHER, *rest), wrong), (short, 20), ((OTHER, OTHER, *rest), 300), ((CONFLICT, CONFLICT, *rest), 300)]
+        posterior[wrong] = linkage.em(patterns, {(OTHER, OTHER, *rest): 2000, short: 40})[0]
+    assert posterior[5][short] < 0.5 < posterior[400][short]
+
+
+@pytest.mark.parametrize("wrong", [0.0, 0.3])
+def test_confidence_is_near_the_share_that_is_right(spark, wrong):
     import random
 
-    accepted, right, sure = {}, {}, {}
-    for wrong in (0.0, 0.5):
-        games, entries = synthetic(random.Random(8), 400, wrong)
-        g = spark.createDataFrame(games, "id string, title string, path string")
-        # some entries have another name altogether, so that only the folder can tell
-        e = spark.createDataFrame([(i, n if i % 5 else f"Nothing {chr(97 + i % 26) * 4}{chr(97 + i // 26) * 4} Alike", d) for i, n, d in entries], "id long, name string, directory string")
-        links = linkage.link_records(g, e).collect()
-        accepted[wrong] = sum(r["right_id"] % 5 == 0 for r in links)
-        right[wrong] = sum(r["left_id"] == f"steam:{r['right_id']}" for r in links) / len(links)
-        sure[wrong] = sum(r["confidence"] for r in links) / len(links)
-    assert accepted[0.0] >= 70 and accepted[0.5] <= 10
-    assert right[0.0] > 0.98 and right[0.5] > 0.95 and all(abs(right[w] - sure[w]) < 0.05 for w in right)
+    games, entries = synthetic(random.Random(8), 400, wrong)
+    links = linkage.link_records(spark.createDataFrame(games, "id string, title string, path string"), spark.createDataFrame(entries, "id long, name string, directory string")).collect()
+    right, sure = sum(r["left_id"] == f"steam:{r['right_id']}" for r in links) / len(links), sum(r["confidence"] for r in links) / len(links)
+    assert right > 0.98 and abs(right - sure) < 0.02 and len(links) >= 0.95 * (1 - wrong) * len(entries)
