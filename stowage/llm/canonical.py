@@ -30,34 +30,43 @@ def canonical_path(path: Column) -> Column:
 def canonical_object(raw: Column) -> Column:
     """A JSON object's fields in the order of their names, names in lower case, values as canonical paths.
 
-    Numbers count as text, a null value is none of the texts, nested values count by their JSON text. A text that is no object
-    counts by its canonical path behind a mark of its own; null stays null.
+    Numbers count as text, a null value is none of the texts, nested values count by their JSON text with sorted names. A text that
+    is no object counts by its canonical path behind a mark of its own; null stays null.
     """
     fields = F.map_entries(F.from_json(raw, "map<string,string>"))
-    named = F.transform(fields, lambda e: F.struct(F.lower(e["key"]).alias("key"), F.coalesce(F.concat(F.lit("="), canonical_path(e["value"])), F.lit("")).alias("value")))
+    named = F.transform(fields, lambda e: F.struct(F.lower(e["key"]).alias("key"), F.coalesce(F.concat(F.lit("="), canonical_path(_sorted(e["value"]))), F.lit("")).alias("value")))
     # a name's length stands before it, so that no name can imitate a border
     lines = F.transform(F.array_sort(named), lambda e: F.concat(F.length(e["key"]), F.lit(":"), e["key"], e["value"]))
     return F.when(raw.isNull(), F.lit(None)).otherwise(F.coalesce(F.concat(F.lit("{"), F.array_join(lines, FIELD)), F.concat(F.lit("!"), canonical_path(raw))))
 
 
+def _sorted(value: Column) -> Column:
+    """A nested value with the names of its objects in order; others as they are."""
+    return F.when(F.startswith(value, F.lit("{")) | F.startswith(value, F.lit("[")), F.coalesce(F.to_json(F.try_parse_json(value)), value)).otherwise(value)
+
+
 def hashed(canonical: Column) -> tuple[Column, Column]:
     """128 bits that group, and 64 of another function that check."""
     return F.unhex(F.md5(canonical.cast("binary"))), F.xxhash64(canonical)
 
 
-def _slim(df: DataFrame, key: str, canonical: Column) -> DataFrame:
-    """(key, digest, check) of each record that has a canonical form."""
+def slim(df: DataFrame, key: str, canonical: Column, *by: Column) -> DataFrame:
+    """(by.., key, digest, check) of each record that has a canonical form."""
     digest, check = hashed(canonical)
-    return df.select(F.col(quoted(key)).alias("key"), digest.alias("digest"), check.alias("check")).where("digest is not null")
+    return df.select(*by, F.col(quoted(key)).alias("key"), digest.alias("digest"), check.alias("check")).where("digest is not null")
 
 
-def _groups(slim: DataFrame) -> DataFrame:
-    groups = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("keep"), F.min("check").alias("low"), F.max("check").alias("high"))
-    whole = groups.where("low = high").select("digest", F.lit(0).cast("long").alias("check"), "keep", "copies", F.lit(False).alias("collided"))
-    # none in practice; those that are get grouped again by both hashes
-    met = groups.where("low != high").select("digest")
-    split = slim.join(met, "digest", "left_semi").groupBy("digest", "check").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("copies"))
-    return whole.unionByName(split.select("digest", "check", "keep", "copies", F.lit(True).alias("collided")))
+def _groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    groups = rows.groupBy(*by, "digest").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("keep"), F.min("check").alias("low"), F.max("check").alias("high"))
+    groups = checkpointed(groups)
+    whole = groups.where("low = high").select(*by, "digest", F.lit(0).cast("long").alias("check"), "keep", "copies", F.lit(False).alias("collided"))
+    met = groups.where("low != high").select(*[F.col(c).alias(f"met_{c}") for c in [*by, "digest"]])
+    # none in practice; those that are get grouped again by both hashes, spread by their known counts
+    if met.isEmpty():
+        return whole
+    plan = plan_load(groups.where("low != high"), [*by, "digest"], load="copies")
+    split = fragment_replicate_join(rows, met, [(c, f"met_{c}") for c in [*by, "digest"]], "left_semi", plan).groupBy(*by, "digest", "check").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("copies"))
+    return whole.unionByName(split.select(*by, "digest", "check", "keep", "copies", F.lit(True).alias("collided")))
 
 
 def copy_groups(df: DataFrame, key: str, canonical: Column) -> DataFrame:
@@ -65,7 +74,12 @@ def copy_groups(df: DataFrame, key: str, canonical: Column) -> DataFrame:
 
     Rows whose canonical form is null are in no group.
     """
-    return _groups(_slim(df, key, canonical))
+    return groups_of(slim(df, key, canonical), [])
+
+
+def groups_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The same for rows made by `slim`, within each value of `by`."""
+    return _groups(rows, by)
 
 
 def collapse(df: DataFrame, key: str, canonical: Column) -> DataFrame:
@@ -84,10 +98,16 @@ def copies(df: DataFrame, key: str, canonical: Column, tasks: int | None = None)
     A group may hold a third of all rows: only groups of two or more are joined back, and large ones are cut into
     shards by their known counts. Equal keys can't be told apart, so a repeated key gives no pair with itself.
     """
+    return copies_of(slim(df, key, canonical), [], tasks)
+
+
+def copies_of(rows: DataFrame, by: list[str], tasks: int | None = None) -> DataFrame:
+    """The same for rows made by `slim`, within each value of `by`, so that several tables take one aggregation and one join."""
     # canonical forms are made once; what follows reads 32 bytes a record
-    rows = checkpointed(_slim(df, key, canonical))
-    groups = checkpointed(_groups(rows).where("copies > 1")).select("digest", "keep", F.col("check").alias("group_check"), "copies", "collided")
-    plan: LoadPlan = plan_load(groups.groupBy("digest").agg(F.sum("copies").alias("load")), ["digest"], tasks, load="load")
-    joined = fragment_replicate_join(rows, groups, [("digest", "digest")], "inner", plan)
+    rows = checkpointed(rows)
+    keys = [*by, "digest"]
+    groups = _groups(rows, by).where("copies > 1").select(*[F.col(c).alias(f"group_{c}") for c in keys], "keep", F.col("check").alias("group_check"), "copies", "collided")
+    plan: LoadPlan = plan_load(groups.groupBy(*[F.col(f"group_{c}").alias(c) for c in keys]).agg(F.sum("copies").alias("load")), keys, tasks, load="load")
+    joined = fragment_replicate_join(rows, groups, [(c, f"group_{c}") for c in keys], "inner", plan)
     same = (~F.col("collided")) | (F.col("check") == F.col("group_check"))
-    return joined.where(same & (F.col("keep") < F.col("key"))).select(F.col("keep").alias("keep_id"), F.col("key").alias("copy_id"))
+    return joined.where(same & (F.col("keep") < F.col("key"))).select(*by, F.col("keep").alias("keep_id"), F.col("key").alias("copy_id"))

@@ -27,15 +27,18 @@ def _forms(spark: SparkSession, d: str):
     yield "raw_games", table(spark, d, "raw_games").select("raw_id", "raw"), "raw_id", canonical.canonical_object(F.col("raw"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [canonical.copies(df, key, form).select(F.lit(name).alias("tbl"), "keep_id", "copy_id") for name, df, key, form in _forms(spark, d)]
+def _slim_forms(spark: SparkSession, d: str) -> DataFrame:
+    parts = [canonical.slim(df, key, form, F.lit(name).alias("tbl")) for name, df, key, form in _forms(spark, d)]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.copies_of(_slim_forms(spark, d), ["tbl"])
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One record of each group with its number of copies."""
-    parts = [canonical.copy_groups(df, key, form).select(F.lit(name).alias("tbl"), F.col("keep").alias("keep_id"), "copies") for name, df, key, form in _forms(spark, d)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return canonical.groups_of(_slim_forms(spark, d), ["tbl"]).select("tbl", F.col("keep").alias("keep_id"), "copies")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -52,3 +52,9 @@ def test_colliding_digests_are_split(spark, monkeypatch):
     monkeypatch.setattr(canonical, "hashed", lambda c: (F.lit(b"same"), F.xxhash64(c)))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "b"), (5, "c")], "id long, path string")
     assert {tuple(r) for r in canonical.copies(df, "id", canonical.canonical_path(F.col("path"))).collect()} == {(1, 3), (2, 4)}
+
+
+def test_nested_objects_in_another_order(spark):
+    rows = ['{"a": {"x": 1, "y": [ {"p": 1, "q": 2} ]}}', '{"A": {"y": [{"q":2,"p":1}], "x": 1}}', '{"a": {"x": 2, "y": [{"p": 1, "q": 2}]}}', '{"a": "{not json"}']
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, raw string")
+    assert [tuple(r) for r in canonical.copies(df, "id", canonical.canonical_object(F.col("raw"))).collect()] == [(0, 1)]

@@ -116,4 +116,6 @@ def test_confidence_is_near_the_share_that_is_right(spark, wrong):
     games, entries = synthetic(random.Random(8), 400, wrong)
     links = linkage.link_records(spark.createDataFrame(games, "id string, title string, path string"), spark.createDataFrame(entries, "id long, name string, directory string")).collect()
     right, sure = sum(r["left_id"] == f"steam:{r['right_id']}" for r in links) / len(links), sum(r["confidence"] for r in links) / len(links)
-    assert right > 0.98 and abs(right - sure) < 0.12 and len(links) >= 0.98 * len(entries)
+    assert right > 0.98 and abs(right - sure) < 0.12
+    # README: few pairs share a block without being a match here, so a name alone is held for weak and links with other folders are lost
+    assert len(links) >= 0.98 * (1 - wrong) * len(entries)
