@@ -49,6 +49,14 @@ def p4_by_period(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("tbl", "ref_month", "reason").agg(F.count(F.lit(1)).alias("ids"))
 
 
+def p4_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Games and kinds of the activity log that no job has, under each rule for keys that are partly null."""
+    refs, jobs = table(spark, d, "activity").select("game_id", "kind"), table(spark, d, "jobs").select("game_id", "kind")
+    on = [("game_id", "game_id"), ("kind", "kind")]
+    parts = [orphan_references(refs, on, jobs, match).select(F.lit(match).alias("match"), "game_id", "kind", "reason") for match in ("simple", "partial", "full")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "files"), "snap_no", ["game_id", "relpath"], ["size", "mtime_ns", "ino"], "loaded_at")
 
@@ -63,7 +71,7 @@ def p5_by_game(spark: SparkSession, d: str) -> DataFrame:
     return _changes(spark, d).groupBy("snap_no", "game_id").agg(*kinds)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_game_profile, p4_found, p4_by_period, p5_found, p5_by_game)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_game_profile, p4_found, p4_by_period, p4_composite, p5_found, p5_by_game)}
 
 _P4 = """refs AS (
   SELECT DISTINCT 'files' AS tbl, game_id, snap_ts AS ref_at FROM files WHERE game_id <> ''
@@ -98,6 +106,11 @@ SQL = {
         FROM files f LEFT JOIN (SELECT id, arg_max(launcher, rec_no) AS launcher FROM games GROUP BY id) g ON g.id = f.game_id GROUP BY f.game_id""",
     "p4_found": f"WITH {_P4} SELECT * FROM orphans",
     "p4_by_period": f"WITH {_P4} SELECT tbl, ref_month, reason, count(*) AS ids FROM orphans GROUP BY ALL",
+    "p4_composite": """WITH refs AS (SELECT DISTINCT game_id, kind FROM activity), whole AS (
+          SELECT game_id, kind, 'missing' AS reason FROM refs r WHERE game_id IS NOT NULL AND kind IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.game_id = r.game_id AND j.kind = r.kind)),
+        part AS (SELECT game_id, kind FROM refs WHERE (game_id IS NULL) <> (kind IS NULL))
+        SELECT 'simple' AS match, * FROM whole UNION ALL SELECT 'full', * FROM whole UNION ALL SELECT 'full', game_id, kind, 'partial' FROM part UNION ALL SELECT 'partial', * FROM whole
+        UNION ALL SELECT 'partial', game_id, kind, 'missing' FROM part r WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.game_id = r.game_id OR j.kind = r.kind)""",
     "p5_found": f"WITH {_P5} SELECT * FROM changes",
     "p5_by_game": f"""WITH {_P5} SELECT snap_no, game_id, count(CASE WHEN change_kind = 'added' THEN 1 END) AS added,
         count(CASE WHEN change_kind = 'removed' THEN 1 END) AS removed, count(CASE WHEN change_kind = 'changed' THEN 1 END) AS changed

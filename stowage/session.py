@@ -46,7 +46,7 @@ def tasks_of(spark: SparkSession) -> int:
 def busy(df: DataFrame) -> DataFrame:
     """`df` in at least as many partitions as the cluster has cores, for work that is heavy per row.
 
-    Only an input too small to fill the cores is shuffled; a large scan keeps its splits.
+    Only an input too small to fill the cores is shuffled; a large scan keeps its splits. Results are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
