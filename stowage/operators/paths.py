@@ -75,3 +75,9 @@ def overlay(base: DataFrame, upper: DataFrame, whiteouts: DataFrame, path: str,
     hidden = both.select(path, F.explode(ancestors(F.col(quoted(path)))).alias("_above")).join(out, F.col("_above") == F.col("_white"), "left_semi").select(F.col(quoted(path)).alias("_hidden")).distinct()
     seen = both.join(hidden, F.col(quoted(path)) == F.col("_hidden"), "left_anti")
     return seen.select(path, *[F.col(f"_v.{quoted(v)}").alias(v) for v in values], "layer")
+
+
+def hex_components(path_hex: Column) -> Column:
+    """Components of a path of raw bytes in hex digits, so that their order is that of a walk."""
+    spaced = F.regexp_replace(path_hex, "(..)", "$1 ")
+    return F.split(spaced, "2F ")

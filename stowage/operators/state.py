@@ -98,3 +98,50 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column], bucket:
     joined = cut.join(carried, [F.col(quoted(k)).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(part).eqNullSafe(F.col("_b"))]).drop("_b", *[f"_k{i}" for i in range(len(keys))])
     inner = F.sum(value).over(Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return joined.withColumn(within, F.coalesce(inner, F.lit(0).cast("long"))).withColumn(name, (F.col(before) + F.col(within)).cast("long")).drop(part, before, within)
+
+
+def top_places(df: DataFrame, n: int, order: list[Column], columns: list[str]) -> DataFrame:
+    """The first n rows in an order, with their `place` from 1. A top-k; only those n rows are numbered."""
+    top = df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return top.select("place", *columns)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """Each row's place from 1 within its key; `bucket` must not fall along the order (see running_totals)."""
+    out = running_totals(df, keys, order, bucket, F.lit(1).cast("long"), name)
+    return out.withColumn(name, F.col(quoted(name)) + 1)
+
+
+def kept_if(new: DataFrame, old: DataFrame, keys: list[str], flags: DataFrame, group: str, flag: str) -> DataFrame:
+    """New rows, and those old ones missing among them whose group has the flag. Null keys match nothing."""
+    missing = old.join(new.select(*keys).distinct(), keys, "left_anti").join(flags.where(F.col(quoted(flag))).select(group), group, "left_semi")
+    return new.withColumn("kept", F.lit(False)).unionByName(missing.select(*new.columns).withColumn("kept", F.lit(True)))
+
+
+def stamps(df: DataFrame, group: list[str], path: str, values: list[str], most: int) -> DataFrame:
+    """One digest per group over its first rows in path order; `partial:n:` before it if there are more than `most`.
+
+    The rank is bounded, so each task keeps `most` rows of a group before the shuffle. Nulls count as the text `-`.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col(quoted(path)).asc()))
+    line = F.concat_ws(":", F.col(quoted(path)), *[F.coalesce(F.col(quoted(v)).cast("string"), F.lit("-")) for v in values])
+    first = df.withColumn("_place", place).where(F.col("_place") <= most).select(*group, "_place", line.alias("_line"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_line"))), lambda x: x["_line"]), "\n"), 256)
+    made = first.groupBy(*group).agg(digest.alias("_digest"))
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("files"))
+    mark = F.when(F.col("files") > most, F.concat(F.lit("partial:"), F.lit(most).cast("string"), F.lit(":"), "_digest")).otherwise(F.col("_digest"))
+    return counts.join(made, group).select(*group, "files", mark.alias("stamp"))
+
+
+def appended(base: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`new` rows with the ids that follow the greatest of `base`, in an order whose first column is a number and which is unique."""
+    top = base.agg(F.coalesce(F.max(F.col(quoted(key))), F.lit(0)).alias("_top"))
+    one = new.withColumn("_all", F.lit(0))
+    placed = numbered(one, ["_all"], [F.col(quoted(c)).asc() for c in order], F.floor(F.col(quoted(order[0])) / 65536), "_place")
+    # one row
+    return placed.join(F.broadcast(top)).select((F.col("_top") + F.col("_place")).alias(key), *[F.col(quoted(c)) for c in new.columns if c not in order])
+
+
+def migrated(df: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """A table of an older schema with the columns that a newer one added; those it has already stay."""
+    return df.withColumns({c: v for c, v in added.items() if c.lower() not in {x.lower() for x in df.columns}})
