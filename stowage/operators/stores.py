@@ -82,7 +82,7 @@ def range_bytes(entries: DataFrame, objects: DataFrame, ranges: DataFrame, most:
     A range is cut to `most` bytes and at the file's end; behind it data is empty. Null if a chunk that is touched is missing or damaged.
     """
     asked = ranges.select("path", "from_byte", F.least(F.col("length").cast(LONG), F.lit(most).cast(LONG)).alias("want")).distinct()
-    rows = asked.join(entries, "path")
+    rows = asked.join(entries.where("hash is not null"), "path")
     first, last = F.greatest("start_at", "from_byte"), F.least(F.col("start_at") + F.col("length"), F.col("from_byte") + F.col("want"))
     touched = rows.where(last > first).join(objects.select("hash", "length", "codec", "payload"), ["hash", "length"], "left")
     data = decoded(F.col("codec"), F.col("payload"), F.col("length"), F.col("hash"))
