@@ -9,6 +9,7 @@ entries bound the blocks in which this happens; in logs and manifests each line
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 
@@ -40,9 +41,6 @@ MAY_END = {
 # Words behind which an ordinal stands in German, and months behind one.
 BEFORE_ORDINAL = frozenset("am dem den der des die das vom zum zur beim im ab bis seit".split())
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
-# Names that stay in lower case at the start of a sentence.
-LOWER_NAMES = frozenset("btrfs bcachefs zstd xfs ext2 ext3 ext4 f2fs zfs ntfs lzx macos ios".split())
-
 NEVER = frozenset(" ".join(x.split()) for words in GOES_ON.values() for x in regex.findall(r"(?:\S+\. )*\S+?(?= |$)", words))
 ENDING = frozenset(x for words in MAY_END.values() for x in regex.findall(r"(?:\S+\. )*\S+?(?= |$)", words))
 #: Adverbials of time that open a sentence, up to an abbreviation.
@@ -53,7 +51,6 @@ HEADING = regex.compile(r"[ \t]*#{1,6}[ \t]+\S")
 BULLET = regex.compile(r"[ \t]*[-*+•‣◦·▪●–][ \t]+(?=\S)")
 NUMBERED = regex.compile(r"[ \t]*(\d{1,3})[.)][ \t]+(?=\S)")
 STOP = regex.compile(r"[\p{SB=STerm}\p{SB=ATerm}…‥]+|(?<=[\p{Thai}\p{Lao}])\s+(?=[\p{Thai}\p{Lao}\p{Lu}\p{Lo}])")
-MARK = regex.compile(r'[(\[{（［｛「『【〔〈《«“„‚"”»)\]}）］｝」』】〕〉》]')
 SPACE = regex.compile(r"\s*")
 BEFORE = regex.compile(r"\S+\Z")
 NAME_LIKE = regex.compile(r"[\w-]+(?:[._](?!\p{Lu}\p{Ll})[\w-]+)+")
@@ -67,10 +64,18 @@ LOUD = regex.compile(r"[!?]")
 IDEOGRAPHS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 DEVANAGARI = regex.compile(r"\p{Devanagari}")
 CAPITALIZED = regex.compile(r"\p{Lu}\p{Ll}+(?=[\s,.'’!?:]|$)")
-CLOSES = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "「": "」", "『": "』", "【": "】", "〔": "〕", "〈": "〉", "《": "》", "«": "»", "“": "”", "„": "“", "‚": "‘", '"': '"'}
+#: Brackets of all scripts: each opening one with the closing one that follows it in Unicode.
+BRACKETS = {chr(c): chr(e) for c in range(0x28, 0xFFFF) if unicodedata.category(chr(c)) == "Ps" and chr(c) not in "‚„" for e in (c + 1, c + 2) if unicodedata.category(chr(e)) == "Pe" and (e == c + 1 or unicodedata.category(chr(c + 1)) != "Pe")}
+# Quotation marks and what closes them.
+CLOSES = BRACKETS | {"«": "»", "“": "”", "„": "“", "‚": "‘", '"': '"'}
 MIXED_CLOSE = {"”": ("“", '"'), '"': ("”",)}
 QUOTES = frozenset("「『«“„‚\"")
 ENDS = frozenset(CLOSES.values()) | {"’", "”"}
+MARK = regex.compile("[" + "".join(regex.escape(c) for c in sorted({*CLOSES, *CLOSES.values(), "”"})) + "]")
+#: What goes on with a sentence: marks of that property but dashes, and marks that end or close.
+GOES_ON_WITH = regex.compile(r"[\p{SB=SContinue}…！？!?)\]）」』--[\-–—]]", regex.V1)
+#: A name that stays in lower case: letters with digits behind them, or a word without a vowel.
+LOWER_NAME = regex.compile(r"(?=[a-z0-9]*[0-9])[a-z][a-z0-9]+|[b-df-hj-np-tv-xz]{3,}")
 LINE_KINDS = ("log", "manifest")
 
 
@@ -114,7 +119,7 @@ def _capital(text: str, at: int) -> bool:
 def _begins(text: str, at: int) -> bool:
     """The same, or a name in lower case: of a file or a known product."""
     run = RUN.match(text, at)
-    return _capital(text, at) or NAME_LIKE.match(text, at) is not None or (run is not None and run.group() in LOWER_NAMES)
+    return _capital(text, at) or NAME_LIKE.match(text, at) is not None or (run is not None and LOWER_NAME.fullmatch(run.group()) is not None)
 
 
 def _word_before(text: str, start: int, at: int) -> tuple[str, str]:
@@ -133,7 +138,7 @@ def _dot_ends(text: str, start: int, at: int, behind: int) -> bool:
     token, before = _word_before(text, start, at)
     low, joined = token.lower(), f"{before} {token}".lower()
     next_word = NAME_LIKE.match(text, behind)
-    lower_start = text[behind].islower() and ((next_word and not next_word.group().endswith((".", "_"))) or RUN.match(text, behind).group() in LOWER_NAMES)
+    lower_start = text[behind].islower() and ((next_word and not next_word.group().endswith((".", "_"))) or LOWER_NAME.fullmatch(RUN.match(text, behind).group()) is not None)
     if joined in NEVER or low in NEVER:
         return low in ALSO_WORDS and joined not in NEVER and text[behind].isupper()
     if DOTTED.fullmatch(token) and low not in ENDING:
@@ -166,7 +171,7 @@ def _ends(text: str, start: int, begin: int, end: int, close: int, pair: tuple[i
     gap, new = behind > close, text[behind]
     wide = FULL_STOP.search(stop) is not None
     omission = not wide and not LOUD.search(stop) and ("…" in stop or "‥" in stop or len(stop) > 1)
-    if new in ",;:!?…，、；：！？)）]」』" or (new in "—–-" and gap and not text[behind + 1 : behind + 2].isalnum()):
+    if GOES_ON_WITH.match(new) or (new in "—–-" and gap and not text[behind + 1 : behind + 2].isalnum()):
         return False
     if pair:
         opener = text[pair[0]]
