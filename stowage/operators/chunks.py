@@ -303,14 +303,19 @@ def small_file_groups(files: DataFrame, store: str, path: str, content: str, ext
 
 
 def corpus_digest(files: DataFrame, group: list[str], path: str, content: Column) -> DataFrame:
-    """One digest per group over its files in path order, however large the group.
+    """One digest per group over its files, however large the group.
 
-    A tree of two levels: files are put into 4,096 bins by the first digits of their path's hash, each bin hashes its files in path
-    order, and the group hashes its bins in order. So no task holds a group, and the result depends on nothing but paths and bytes.
+    A tree of three levels: files are put into 16 million bins by the first six digits of their path's hash, each bin hashes its
+    files in the order of these hashes, 4,096 bins at a time are hashed in order, and the group hashes those. So no task holds a
+    group (ten billion files are some 600 a bin), and the result depends on nothing but paths and bytes.
     """
     name = F.sha2(F.col(quoted(path)).cast("binary"), 256)
     line = F.concat(name, F.lit(":"), F.sha2(F.coalesce(content.cast("binary"), F.lit(b"")), 256))
-    bins = files.select(*group, F.substring(name, 1, 3).alias("_bin"), line.alias("_line"))
-    hashed = bins.groupBy(*group, "_bin").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256).alias("_digest"), F.count(F.lit(1)).alias("_n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bin", "_digest"))), lambda b: F.concat(b["_bin"], F.lit(":"), b["_digest"])), "\n")
-    return hashed.groupBy(*group).agg(F.sum("_n").alias("files"), F.sha2(joined, 256).alias("digest"))
+    rows = files.select(*group, F.substring(name, 1, 6).alias("_bin"), line.alias("_line"), F.lit(1).cast("long").alias("_n"))
+    for digits in (6, 3, 0):
+        lines = F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256)
+        above = [F.substring("_bin", 1, digits).alias("_bin")] if digits else []
+        rows = rows.groupBy(*group, *above).agg(lines.alias("_digest"), F.sum("_n").alias("_n"))
+        if digits:
+            rows = rows.select(*group, "_bin", F.concat("_bin", F.lit(":"), "_digest").alias("_line"), "_n")
+    return rows.select(*group, F.col("_n").alias("files"), F.col("_digest").alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.names import quoted
+from stowage.session import checkpointed
 
 
 def ordered_distinct(value: str, order: str) -> Column:
@@ -44,8 +45,8 @@ def without_any(installs: DataFrame, key: str, ids: Column, excluded: DataFrame,
 def select_tiered(installs: DataFrame, key: str, title: str, selectors: DataFrame, selector: str) -> DataFrame:
     """Installs that each selector picks: those with that id or key, else with that title, else with it in the title.
 
-    Case does not matter, except for the key behind the colon. An empty or null selector picks nothing. Each tier is an equi-join;
-    only selectors without a better tier reach the search in titles, which compares a stated query set with all rows.
+    Case does not matter, except for the key behind the colon. An empty or null selector picks nothing. Each tier is an equi-join,
+    the last one on three letters (fewer of shorter selectors) that a title has if it holds the selector.
     """
     wanted = selectors.select(F.col(quoted(selector)).alias("selector")).where("selector is not null and selector != ''").distinct()
     own = installs.select(F.col(quoted(key)).alias("key"), F.col(quoted(title)).alias("title")).distinct()
@@ -53,14 +54,22 @@ def select_tiered(installs: DataFrame, key: str, title: str, selectors: DataFram
     by_key = own.join(wanted, F.substring_index("key", ":", -1) == F.col("selector")).select("selector", "key")
     first = by_id.unionAll(by_key).distinct().withColumn("tier", F.lit(1))
     second = own.join(wanted, F.lower("title") == F.lower("selector")).select("selector", "key").distinct().withColumn("tier", F.lit(2))
-    found = first.unionAll(second)
+    # read three times, and as small as what is selected
+    found = checkpointed(first.unionAll(second))
     rest = wanted.join(found.select("selector").distinct(), "selector", "left_anti")
-    third = own.join(rest, F.contains(F.lower("title"), F.lower("selector"))).select("selector", "key").withColumn("tier", F.lit(3))
+    grams = own.select("key", "title", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.lower("title"), n) for n in (1, 2, 3)])))).alias("_gram"))
+    third = grams.join(rest.withColumn("_gram", F.substring(F.lower("selector"), 1, 3)), "_gram").where(F.contains(F.lower("title"), F.lower("selector"))).select("selector", "key").distinct().withColumn("tier", F.lit(3))
     found = found.unionAll(third)
     best = found.groupBy("selector").agg(F.min("tier").alias("best"))
     return found.join(best, "selector").where("tier = best").select("selector", "key", "tier")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n letters."""
+    last = F.length(text) - (n - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def kept_from_before(fresh: DataFrame, before: DataFrame, key: str, folder: str, keep: Column | None = None) -> DataFrame:
     """Fresh installs, and remembered ones of which neither id nor folder was seen again (and that `keep` keeps)."""
     old = before if keep is None else before.where(keep)

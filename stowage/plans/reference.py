@@ -696,6 +696,21 @@ SQL = {
         FROM (SELECT doc_id, ord, size, start_at + CASE WHEN ord % 50 = 49 THEN 1 ELSE 0 END AS start_at FROM {_PARTS})) WHERE expected <> start_at""",
     "pool_prune": f"""SELECT count(*) AS objects, {_BIG.format('size')} AS bytes FROM (SELECT DISTINCT hash, size FROM {_TEXTS}) t
         WHERE NOT EXISTS (SELECT 1 FROM {_TEXTS} u WHERE u.hash = t.hash AND u.size = t.size AND u.source NOT LIKE 'board/%')""",
+    "corpus_digest": """WITH f AS (SELECT source, sha256(CAST(doc_id AS VARCHAR)) AS p, sha256(coalesce(text, '')) AS c FROM documents),
+        a AS (SELECT source, substr(p, 1, 6) AS b, sha256(string_agg(p || ':' || c, chr(10) ORDER BY p || ':' || c)) AS d, count(*) AS n FROM f GROUP BY ALL),
+        m AS (SELECT source, substr(b, 1, 3) AS b3, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b || ':' || d)) AS d, sum(n) AS n FROM a GROUP BY ALL)
+        SELECT source, CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(b3 || ':' || d, chr(10) ORDER BY b3 || ':' || d)) AS digest FROM m GROUP BY 1""",
+    "small_file_frames": f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY game_id, e ORDER BY relpath) AS r FROM (
+          SELECT game_id, relpath, size, lower(regexp_extract(regexp_extract({_LATIN}, '[^/]*$'), '[^.]\\.([^.]+)$', 1)) AS e FROM {_h(NOW)} WHERE size BETWEEN 1 AND 524287)),
+        t AS (SELECT game_id, e, r, size, 0 AS frame, size AS filled FROM h WHERE r = 1 UNION ALL
+          SELECT h.game_id, h.e, h.r, h.size, CASE WHEN t.filled + h.size > 4194304 THEN t.frame + 1 ELSE t.frame END, CASE WHEN t.filled + h.size > 4194304 THEN h.size ELSE t.filled + h.size END
+          FROM t JOIN h ON h.game_id = t.game_id AND h.e = t.e AND h.r = t.r + 1)
+        SELECT game_id, e AS extension, CAST(frame AS BIGINT) AS frame, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY ALL""",
+    "preview_budget": f"""WITH RECURSIVE h AS (SELECT game_id, size, row_number() OVER (PARTITION BY game_id ORDER BY size DESC, relpath) AS r FROM {_h(NOW)} WHERE size > 4096),
+        s AS (SELECT game_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS take, CAST(33554432 AS BIGINT) AS rest FROM (SELECT DISTINCT game_id FROM h) UNION ALL
+          SELECT h.game_id, h.r, k.take, s.rest - k.take FROM s JOIN h ON h.game_id = s.game_id AND h.r = s.r + 1,
+          LATERAL (SELECT CAST(CASE WHEN s.rest <= 0 OR (s.rest < 131072 AND h.size > s.rest) THEN 0 ELSE least(h.size, 2097152, s.rest) END AS BIGINT) AS take) k)
+        SELECT game_id, count(CASE WHEN take > 0 THEN 1 END) AS files, CAST(sum(take) AS BIGINT) AS bytes FROM s WHERE r > 0 GROUP BY 1""",
     "file_types": f"""SELECT lower(regexp_extract(regexp_extract(path, '[^/]*$'), '[^.]\\.([^.]+)$', 1)) AS extension, len(list_filter(string_split(path, '/'), lambda c: c <> '')) AS depth,
         count(*) AS files, {_BIG.format('size')} AS bytes, count(CASE WHEN length(path) <= 4096 AND len(list_filter(string_split(path, '/'), lambda c: c IN ('', '.', '..'))) = 0 THEN 1 END) AS safe
         FROM (SELECT {_LATIN} AS path, size FROM {_h(NOW)}) GROUP BY ALL""",

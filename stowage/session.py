@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def session(master: str | None = None, partitions: int | None = None, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -49,16 +51,30 @@ def busy(df: DataFrame) -> DataFrame:
     Only an input too small to fill the cores is shuffled; a large scan keeps its splits. Results are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    # behind a join or an aggregation rows are in a shuffle's partitions already, and to ask for their number would run it
+    if plan.children().size() or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+_OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only local sessions that name none get one of this machine."""
+    """The folder that all executors share: spark.checkpoint.dir. Only local sessions that name none get one of this machine, which is removed when the program ends."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or os.path.join(tempfile.gettempdir(), "stowage-checkpoints")
+    if named:
+        return named
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="stowage-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

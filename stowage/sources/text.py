@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.names import quoted
+from stowage.functions.texts import octal_undone
 
 #: Nested deeper, a text is refused.
 MOST_DEPTH = 128
@@ -96,15 +97,13 @@ def mount_table(lines: DataFrame, line: str) -> DataFrame:
     parts = F.split(F.col(quoted(line)), " - ")
     left, right = F.split(parts[0], " +"), F.split(F.get(parts, F.lit(1)), " +")
     whole = (F.size(parts) == 2) & (F.size(left) >= 6) & (F.size(right) >= 2)
-    undone = F.get(left, F.lit(4))
-    for code, char in (("\\\\040", " "), ("\\\\011", "\t"), ("\\\\012", "\n"), ("\\\\134", "\\\\")):
-        undone = F.regexp_replace(undone, code, char)
+    undone = octal_undone(F.get(left, F.lit(4)))
     return lines.where(whole).select(undone.alias("mountpoint"), F.get(right, F.lit(0)).alias("fstype"), F.get(right, F.lit(1)).alias("source"), F.split(F.get(left, F.lit(5)), ",").alias("options"), F.split(F.coalesce(F.get(right, F.lit(2)), F.lit("")), ",").alias("super_options"))
 
 
 def compression_option(options: Column) -> Column:
     """Algorithm and level of a compress option (`compress=zstd:3`), null if there is none."""
-    one = F.element_at(F.filter(options, lambda o: o.rlike("^compress(-force)?(=|$)")), 1) if False else F.get(F.filter(options, lambda o: o.rlike("^compress(-force)?(=|$)")), F.lit(0))
+    one = F.get(F.filter(options, lambda o: o.rlike("^compress(-force)?(=|$)")), F.lit(0))
     value = F.regexp_extract(one, r"=([^:]+)", 1)
     level = F.regexp_extract(one, r":(\d+)$", 1)
     return F.when(one.isNotNull(), F.struct(F.when(value == "", "default").otherwise(value).alias("algorithm"), F.when(level != "", level.cast("int")).alias("level")))
