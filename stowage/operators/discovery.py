@@ -97,3 +97,46 @@ def observed_changes(reports: DataFrame, key: str, order: list[str], build: str,
     differs = F.col("_last").isNotNull() & ~F.col("_last.build").eqNullSafe(F.col("_now.build"))
     ready = F.col("_now.settled") & (F.col("_last").isNull() | ~F.col("_last.settled") | differs)
     return own.select(*[F.col(quoted(c)) for c in reports.columns], F.col("_last").isNotNull().alias("seen"), F.col("_last.build").alias("before"), differs.alias("changed"), ready.alias("ready"))
+
+
+def remembered_by_any_id(fresh: DataFrame, before: DataFrame, folder: str, ids: str, volume: str, online: DataFrame) -> DataFrame:
+    """Fresh installs, and remembered ones of which neither the folder nor any id was seen again, whose volume is offline or the same.
+
+    `before` has the volume where the install was; `online` (folder, volume) says which volume a folder is on now, and has no row
+    for folders that can't be reached. Null volumes differ from all others.
+    """
+    seen = fresh.select(F.explode(ids).alias("_id")).distinct()
+    hit = before.select(F.col(quoted(folder)).alias("_hit"), F.explode(ids).alias("_id")).join(seen, "_id", "left_semi").select("_hit").distinct()
+    old = before.join(hit, F.col(quoted(folder)) == F.col("_hit"), "left_anti").join(fresh.select(F.col(quoted(folder)).alias("_f")).distinct(), F.col(quoted(folder)) == F.col("_f"), "left_anti")
+    now = online.select(F.col(quoted(folder)).alias("_on"), F.col(quoted(volume)).alias("_volume"))
+    old = old.join(now, F.col(quoted(folder)) == F.col("_on"), "left").where(F.col("_on").isNull() | (F.col("_volume") == F.col(quoted(volume))))
+    return fresh.withColumn("remembered", F.lit(False)).unionByName(old.select(*fresh.columns).withColumn("remembered", F.lit(True)))
+
+
+def due_with_baselines(scans: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, due) of each scan (columns build, enabled, idle, paused, healthy, drive, started) of each install, folded in order.
+
+    An unhealthy scan tells nothing. Another drive sets a new baseline. An install is new if it has no baseline although its location
+    was started before; changed if its baseline was enabled and the build differs (null equals null). New and changed ones keep
+    their baseline until they were due and dealt with, all others get a new one. An install's scans are few.
+    """
+    cells = ["build", "enabled", "idle", "paused", "healthy", "drive", "started"]
+    rows = scans.groupBy(F.col(quoted(key)).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(F.col(quoted(order)).alias("at"), *cells))).alias("all"))
+    none = F.lit(None)
+
+    def step(state, s):
+        has, healthy = state["has"], s["healthy"]
+        moved = has & ~state["drive"].eqNullSafe(s["drive"])
+        wanted = F.when(moved, F.lit(False)).otherwise((has & state["enabled"] & ~state["build"].eqNullSafe(s["build"])) | (~has & s["started"]))
+        due = healthy & wanted & s["enabled"] & s["idle"] & ~s["paused"]
+        keep = ~healthy | wanted
+        pick = lambda old, new: F.when(keep, old).otherwise(new)
+        return F.struct(
+            pick(has, F.lit(True)).alias("has"), pick(state["build"], s["build"]).alias("build"), pick(state["enabled"], s["enabled"]).alias("enabled"), pick(state["drive"], s["drive"]).alias("drive"),
+            F.concat(state["out"], F.array(F.struct(s["at"].alias("at"), due.alias("due")))).alias("out"),
+        )
+
+    kind = scans.schema[order].dataType.simpleString()
+    start = F.struct(F.lit(False).alias("has"), none.cast("string").alias("build"), F.lit(False).alias("enabled"), none.cast("string").alias("drive"), F.array().cast(f"array<struct<at:{kind},due:boolean>>").alias("out"))
+    folded = rows.select("_key", F.aggregate("all", start, step, lambda s: s["out"]).alias("out"))
+    return folded.select(F.col("_key").alias(key), F.explode("out").alias("o")).select(key, F.col("o.at").alias(order), "o.due")

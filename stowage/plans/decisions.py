@@ -279,7 +279,50 @@ def json_results(spark, d):
     return lines.select(F.from_json("line", "rec_no long, id string, title string, path string, level int").alias("r")).select("r.*")
 
 
+def remembered_games(spark, d):
+    """Installs of earlier times that are kept beside those seen since: no id or folder again, and the volume as it was or gone."""
+    rows = _folders(spark, d).where("folder is not null and id is not null").withColumn("volume", F.regexp_extract("folder", r"^(/[^/]*|[a-z]:)", 1))
+    at = F.lit("2024-06-01").cast("timestamp_ntz")
+    ids = lambda df: df.groupBy("folder", "volume").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    fresh, before = ids(rows.where(F.col("loaded_at") >= at)), ids(rows.where(F.col("loaded_at") < at))
+    online = before.where(F.length("folder") % 3 != 0).select("folder", F.when(F.length("folder") % 5 == 0, "elsewhere").otherwise(F.col("volume")).alias("volume"))
+    kept = D.remembered_by_any_id(fresh, before, "folder", "ids", "volume", online)
+    return kept.select("folder", F.array_join("ids", "|").alias("ids"), "remembered")
+
+
+def maintenance_due(spark, d):
+    """Which installs are due at each of their reports, with baselines that wait."""
+    n = F.col("rec_no")
+    scans = table(spark, d, "games").select("id", "rec_no", F.col("build_at_compress").alias("build"), (F.col("level") > 3).alias("enabled"), F.col("forgotten_at").isNull().alias("idle"), (n % 9 == 0).alias("paused"), (n % 11 != 0).alias("healthy"), F.col("backend").alias("drive"), (n > 60).alias("started"))
+    return D.due_with_baselines(scans, "id", "rec_no")
+
+
+def scan_batches(spark, d):
+    """What each source's scan had found in all after each day's batch."""
+    rows = table(spark, d, "raw_games").select("source", "seen_at", F.lower(F.get_json_object("raw", "$.path")).alias("path")).where("path is not null")
+    first = rows.groupBy("source", "path").agg(F.min("seen_at").alias("seen_at")).withColumn("day", F.to_date("seen_at"))
+    per = first.groupBy("source", "day").agg(F.count(F.lit(1)).alias("new"))
+    total = S.running_totals(per, ["source"], [F.col("day").asc()], F.year("day"), F.col("new"), "before")
+    return total.select("source", F.col("day").cast("string").alias("day"), "new", (F.col("before") + F.col("new")).alias("found"))
+
+
+def latest_estimates(spark, d):
+    """The newest estimate of each game, which replaces those before it."""
+    rows = table(spark, d, "activity").where("kind = 'estimate' and game_id is not null").select("game_id", "ts", "id", "bytes_delta").distinct()
+    return S.latest_per(rows, ["game_id"], ["ts", "id"])
+
+
+def nested_defaults(spark, d):
+    """Documents with parts missing, read with defaults for these."""
+    n = F.col("rec_no")
+    text = F.to_json(F.struct("id", F.when(n % 3 != 0, F.struct(F.when(n % 2 == 0, F.col("level")).alias("level"), "preset")).alias("options")))
+    read = F.from_json(text, "id string, options struct<level:int,preset:string>, errors array<string>")
+    rows = table(spark, d, "games").select("rec_no", read.alias("j"))
+    return rows.select("rec_no", "j.id", F.coalesce("j.options.level", F.lit(9)).alias("level"), F.coalesce("j.options.preset", F.lit("balanced")).alias("preset"), F.size(F.coalesce("j.errors", F.array().cast("array<string>"))).alias("errors"))
+
+
 FUNCTIONS = [
+    remembered_games, maintenance_due, scan_batches, latest_estimates, nested_defaults,
     app_states, tool_filter, folder_refusals, active_jobs, storage_tiers, preset_plan, estimate_confidence, space_needs, texts_of_totals, clean_messages, key_forms, retry_times,
     worth_order, worth_groups, newest_compressed, forgotten_order, to_analyse, job_errors, deepest_first, walk_order, kept_from_bad_scan, rejected_if_stopped,
     record_lookup, current_game, alias_inheritance, folder_users, same_corpus, shared_bytes, pass_levels, running_titles, tree_stamps, update_layer, filtered_list,
@@ -305,6 +348,21 @@ def _top(rows: str, n: int, order: str, columns: str = "id") -> str:
 
 
 SQL = {
+    "remembered_games": f"""WITH r AS (SELECT folder, id, loaded_at, regexp_extract(folder, '^(/[^/]*|[a-z]:)', 1) AS volume FROM {_FOLDERS} WHERE folder IS NOT NULL),
+        f AS (SELECT folder, list_sort(list(DISTINCT id)) AS ids FROM r WHERE loaded_at >= TIMESTAMP '2024-06-01' GROUP BY folder), b AS (SELECT folder, list_sort(list(DISTINCT id)) AS ids FROM r WHERE loaded_at < TIMESTAMP '2024-06-01' GROUP BY folder)
+        SELECT folder, array_to_string(ids, '|') AS ids, false AS remembered FROM f UNION ALL SELECT folder, array_to_string(ids, '|'), true FROM b WHERE folder NOT IN (SELECT folder FROM f)
+        AND NOT list_has_any(ids, (SELECT list(DISTINCT id) FROM r WHERE loaded_at >= TIMESTAMP '2024-06-01')) AND (length(folder) % 3 = 0 OR length(folder) % 5 <> 0)""",
+    "maintenance_due": """WITH RECURSIVE h AS (SELECT id, rec_no, build_at_compress AS build, level > 3 AS enabled, forgotten_at IS NULL AS idle, rec_no % 9 = 0 AS paused, rec_no % 11 <> 0 AS healthy, backend AS drive, rec_no > 60 AS started,
+          row_number() OVER (PARTITION BY id ORDER BY rec_no) AS r FROM games),
+        s AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS rec_no, false AS has, CAST(NULL AS VARCHAR) AS build, false AS enabled, CAST(NULL AS VARCHAR) AS drive, false AS due FROM games UNION ALL
+          SELECT h.id, h.r, h.rec_no, CASE WHEN k.keep THEN s.has ELSE true END, CASE WHEN k.keep THEN s.build ELSE h.build END, CASE WHEN k.keep THEN s.enabled ELSE h.enabled END, CASE WHEN k.keep THEN s.drive ELSE h.drive END, k.due
+          FROM s JOIN h ON h.id = s.id AND h.r = s.r + 1, LATERAL (SELECT CASE WHEN s.has AND s.drive IS DISTINCT FROM h.drive THEN false ELSE (s.has AND s.enabled AND s.build IS DISTINCT FROM h.build) OR (NOT s.has AND h.started) END AS wanted) w,
+          LATERAL (SELECT NOT h.healthy OR w.wanted AS keep, h.healthy AND w.wanted AND h.enabled AND h.idle AND NOT h.paused AS due) k)
+        SELECT id, rec_no, due FROM s WHERE r > 0""",
+    "scan_batches": """SELECT source, CAST(day AS VARCHAR) AS day, n AS new, CAST(sum(n) OVER (PARTITION BY source ORDER BY day) AS BIGINT) AS found FROM (SELECT source, CAST(seen_at AS DATE) AS day, count(*) AS n FROM (
+        SELECT source, lower(json_extract_string(raw, '$.path')) AS path, min(seen_at) AS seen_at FROM raw_games WHERE json_extract_string(raw, '$.path') IS NOT NULL GROUP BY ALL) GROUP BY ALL)""",
+    "latest_estimates": "SELECT game_id, ts, id, bytes_delta FROM (SELECT DISTINCT game_id, ts, id, bytes_delta FROM activity WHERE kind = 'estimate' AND game_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY ts DESC, id DESC, bytes_delta DESC) = 1",
+    "nested_defaults": "SELECT rec_no, id, CASE WHEN rec_no % 3 <> 0 AND rec_no % 2 = 0 THEN level ELSE 9 END AS level, CASE WHEN rec_no % 3 <> 0 THEN coalesce(preset, 'balanced') ELSE 'balanced' END AS preset, 0 AS errors FROM games",
     "app_states": f"""SELECT doc_id, flags, CASE WHEN running OR work IS NOT NULL OR pending > 0 THEN 'busy' WHEN flags & 160 <> 0 THEN 'broken' WHEN flags & 2 <> 0 THEN 'update pending' WHEN flags & 4 = 0 THEN 'broken' WHEN flags & 64 <> 0 THEN 'busy' ELSE 'idle' END AS state,
         CASE WHEN running THEN 'running' WHEN work IS NOT NULL THEN work WHEN pending > 0 THEN 'transfer' WHEN flags & 32 <> 0 THEN 'files missing' WHEN flags & 128 <> 0 THEN 'files corrupt' WHEN flags & 2 <> 0 THEN NULL WHEN flags & 4 = 0 THEN 'not installed' WHEN flags & 64 <> 0 THEN 'stale running' END AS reason,
         flags & 4 <> 0 AND work IS NULL AND pending <= 0 AS settled FROM (SELECT *, {_WORK} AS work, doc_id % 11 = 0 AS running FROM {_FLAG})""",

@@ -94,3 +94,17 @@ def test_partly_null_keys(spark):
     assert found("simple") == [(2, 1, "missing")]
     assert found("partial") == sorted([(2, 1, "missing"), (3, None, "missing")], key=repr)
     assert found("full") == sorted([(2, 1, "missing"), (1, None, "partial"), (3, None, "partial"), (None, 9, "partial")], key=repr)
+
+
+def test_a_key_that_half_of_all_references_have(spark):
+    """No join or window partition of the references is by that key alone: they are spread over its days."""
+    from stowage.operators.references import DAY, orphan_references
+
+    n = 20_000
+    refs = spark.range(n).selectExpr("if(id % 2 = 0, 'hot', concat('k', id)) AS k", f"id * {DAY // 20} AS at")
+    keys = spark.createDataFrame([("hot", 500 * DAY, 700 * DAY), ("k1", 0, None)], "k string, since long, until long")
+    got = orphan_references(refs, [("k", "k")], keys, at="at", since="since", until="until")
+    rows = got.groupBy("k", "reason").count().where("k in ('hot', 'k1')").collect()
+    at = [i * (DAY // 20) for i in range(0, n, 2)]
+    assert {(r["k"], r["reason"]): r["count"] for r in rows} == {("hot", "late"): sum(t < 500 * DAY for t in at), ("hot", "deleted"): sum(t >= 700 * DAY for t in at)}
+    assert got.where("reason = 'missing'").count() == n // 2 - 1
