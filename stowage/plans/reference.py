@@ -727,3 +727,16 @@ SQL = {
     "compressed_share": f"""SELECT launcher, count(*) AS games, CAST(sum(disk_before) AS BIGINT) AS before_bytes, CAST(sum(disk_after) AS BIGINT) AS after_bytes,
         CAST((sum(disk_before) - sum(disk_after)) * 10000 // sum(disk_before) AS BIGINT) AS saved_bps FROM {_LAST_GAME} GROUP BY 1""",
 }
+
+# All snapshots of the test tables, which the SQL of NAME_by_snapshot names in turn.
+NUMBERS = (11, 12, 13, 15, 16, 18)
+
+
+def _each_snapshot(sql: str) -> str:
+    now, before = f"snap_no = {NOW}", f"snap_no = {BEFORE}"
+    pairs = list(zip(NUMBERS, NUMBERS[1:])) if before in sql else [(0, n) for n in NUMBERS]
+    open_ = sql.replace(now, "snap_no = :now").replace(before, "snap_no = :before")
+    return " UNION ALL ".join(f"SELECT {n} AS snap_no, * FROM ({open_.replace(':now', str(n)).replace(':before', str(b))})" for b, n in pairs)
+
+
+SQL |= {f"{name}_by_snapshot": _each_snapshot(sql) for name, sql in list(SQL.items()) if f"{name}_by_snapshot" in QUERIES}
