@@ -49,25 +49,40 @@ def select_tiered(installs: DataFrame, key: str, title: str, selectors: DataFram
     the last one on three letters (fewer of shorter selectors) that a title has if it holds the selector.
     """
     wanted = selectors.select(F.col(quoted(selector)).alias("selector")).where("selector is not null and selector != ''").distinct()
-    own = installs.select(F.col(quoted(key)).alias("key"), F.col(quoted(title)).alias("title")).distinct()
-    by_id = own.join(wanted, F.lower("key") == F.lower("selector")).select("selector", "key")
-    by_key = own.join(wanted, F.substring_index("key", ":", -1) == F.col("selector")).select("selector", "key")
-    first = by_id.unionAll(by_key).distinct().withColumn("tier", F.lit(1))
-    second = own.join(wanted, F.lower("title") == F.lower("selector")).select("selector", "key").distinct().withColumn("tier", F.lit(2))
+    own = installs.select(F.col(quoted(key)).alias("key"), F.col(quoted(title)).alias("title"))
+    by_id = _same_token(own, F.lower("key"), wanted, F.lower("selector"))
+    by_key = _same_token(own, F.substring_index("key", ":", -1), wanted, F.col("selector"))
+    first = by_id.unionAll(by_key).select("selector", "key").distinct().withColumn("tier", F.lit(1))
+    second = _same_token(own, F.lower("title"), wanted, F.lower("selector")).select("selector", "key").distinct().withColumn("tier", F.lit(2))
     # read three times, and as small as what is selected
     found = checkpointed(first.unionAll(second))
-    rest = wanted.join(found.select("selector").distinct(), "selector", "left_anti")
-    grams = own.select("key", "title", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.lower("title"), n) for n in (1, 2, 3)])))).alias("_gram"))
-    third = grams.join(rest.withColumn("_gram", F.substring(F.lower("selector"), 1, 3)), "_gram").where(F.contains(F.lower("title"), F.lower("selector"))).select("selector", "key").distinct().withColumn("tier", F.lit(3))
-    found = found.unionAll(third)
     best = found.groupBy("selector").agg(F.min("tier").alias("best"))
-    return found.join(best, "selector").where("tier = best").select("selector", "key", "tier")
+    kept = found.join(best, "selector").where("tier = best").select("selector", "key", "tier")
+    # only selectors without a better tier are left, so these rows are all kept
+    rest = wanted.join(found.select("selector").distinct(), "selector", "left_anti")
+    # a letter's place is a row before its runs are, since built-ins on rows are compiled and lambdas on arrays are not
+    titles = own.distinct().withColumn("title", F.lower("title")).where("title != ''")
+    places = titles.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("title"))))
+    near = _same_token(places, F.explode(F.array(*[F.substring(F.col("title"), F.col("_at"), F.lit(n)) for n in (1, 2, 3)])), rest, F.substring(F.lower("selector"), 1, 3))
+    near = near.where(F.position(F.lower("selector"), "title") == F.col("_at"))
+    return kept.unionAll(near.select("selector", "key").distinct().withColumn("tier", F.lit(3)))
+
 
+#: Tokens are told apart by so many hash values when rows are left out before a shuffle; as many numbers are broadcast at most.
+_SLOTS = 1 << 16
 
-def _grams(text: Column, n: int) -> Column:
-    """All runs of n letters."""
-    last = F.length(text) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+def _same_token(own: DataFrame, token: Column, wanted: DataFrame, other: Column) -> DataFrame:
+    """Pairs of rows with equal tokens.
+
+    Spark can't know how many tokens an explode makes or how many selectors there are, and would send the side with the smaller
+    estimate to the driver. So only the hash values of the wanted tokens are broadcast; what shares one is merged by the token.
+    """
+    slot = F.pmod(F.xxhash64("_token"), F.lit(_SLOTS))
+    right = wanted.withColumn("_token", other)
+    left = own.withColumn("_token", token).withColumn("_slot", slot)
+    left = left.join(F.broadcast(right.select(slot.alias("_slot")).distinct()), "_slot", "left_semi").drop("_slot")
+    return left.hint("merge").join(right, "_token")
 
 
 def kept_from_before(fresh: DataFrame, before: DataFrame, key: str, folder: str, keep: Column | None = None) -> DataFrame:

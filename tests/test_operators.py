@@ -91,6 +91,34 @@ def test_selectors(spark):
     assert got == sorted([("ALPHA", "steam:1", 2), ("beta", "gog:x", 3), ("STEAM:1", "steam:1", 1), ("Alpha", "gog:Alpha", 1)])
 
 
+def test_selecting_never_broadcasts_the_installs(spark):
+    words = F.concat_ws(" ", F.lit("The Painted Lantern of"), F.md5(F.col("id").cast("string")))
+    games = spark.range(6_000).select(F.concat(F.lit("steam:"), "id").alias("id"), words.alias("title"))
+    asked = spark.createDataFrame([("7",), ("the painted lantern",), ("none such",)], "s string")
+    limit = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "16m")
+    try:
+        got = discovery.select_tiered(games, "id", "title", asked, "s").groupBy("selector", "tier").count().collect()
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", limit)
+    assert sorted(map(tuple, got)) == [("7", 1, 1), ("the painted lantern", 3, 6_000)]
+
+
+def test_selecting_by_short_and_repeated_letters(spark):
+    rows = [("a:1", "Eee eee"), ("a:2", "xe"), ("a:3", ""), ("a:4", None), (None, "e"), ("a:5", "\U0001f409\U0001f409 eel"), ("a:6", "no"), ("a:6", "no"), ("a:7", "lolol")]
+    asked = ["E", "ee", "ee e", "\U0001f409", "\U0001f409 E", "a:6", "NO", "lol", "olo", "lolol!", " "]
+
+    def tier(s, k, t):
+        if k is not None and (k.lower() == s.lower() or k.split(":")[-1] == s):
+            return 1
+        return None if t is None else 2 if t.lower() == s.lower() else 3 if s.lower() in t.lower() else None
+
+    want = {(s, k, tier(s, k, t)) for s in asked for k, t in rows if tier(s, k, t)}
+    want = {(s, k, n) for s, k, n in want if n == min(m for z, _, m in want if z == s)}
+    got = discovery.select_tiered(spark.createDataFrame(rows, "id string, title string"), "id", "title", spark.createDataFrame([(s,) for s in asked], "s string"), "s").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def naive_cuts(data, least, most, bits):
     cuts, start, total = [], 0, 0
     table = [int(x) for x in chunks.GEAR]
